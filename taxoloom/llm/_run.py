@@ -42,6 +42,8 @@ class Written:
         self.path = f"{shared_folder(spark)}/taxoloom/{name}-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
+        jvm = spark._jvm
+        jvm.System.gc()  # lets Spark's cleaner remove the shuffle files behind this table
 
     def drop(self) -> None:
         jvm = self.spark._jvm

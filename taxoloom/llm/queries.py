@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, toxicity, urls
+from . import bpe, packing, simhash, substring, topk, toxicity, urls
 from ._run import table
 
 URL_RULES = [
@@ -17,10 +17,23 @@ URL_RULES = [
 ]
 
 
+def op1_top_k(spark, sf_dir):
+    return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_simhash(spark, sf_dir):
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, words=1, radius=2)
+    return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+
+
+def op7_substring_dedup(spark, sf_dir):
+    return substring.dedup(table(spark, sf_dir, "documents"), window=35, digest=True)
+
+
 def op8_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), digests=True)
 
@@ -40,7 +53,10 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op3_packing": op3_packing,
+    "op6_simhash": op6_simhash,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
