@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, substring, topk, toxicity, urls
+from . import bpe, editprint, packing, simhash, substring, topk, toxicity, urls
 from ._run import table
 
 URL_RULES = [
@@ -21,6 +21,10 @@ def op1_top_k(spark, sf_dir):
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 100 == 0)
 
 
+def op2_edit_fingerprint(spark, sf_dir):
+    return editprint.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -54,6 +58,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_top_k": op1_top_k,
+    "op2_edit_fingerprint": op2_edit_fingerprint,
     "op3_packing": op3_packing,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,

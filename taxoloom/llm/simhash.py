@@ -144,10 +144,9 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (rows) of the pairs within the radius among neighbours of equal key; keys are sorted."""
+def spanning_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (rows) of the pairs of equal key that ``near(u, v)`` (a mask) accepts; keys are sorted."""
     n = len(keys)
-    table = pivots.distances(fps)
     root = np.arange(n)
     at = np.arange(n)
     us, vs, held = [], [], 0
@@ -158,18 +157,11 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int)
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        u, v = at, at + step
-        for p in range(table.shape[1]):
-            near = np.abs(table[u, p] - table[v, p]) <= radius
-            u, v = u[near], v[near]
-            if not len(u):
-                break
-        if len(u):
-            near = np.bitwise_count(fps[u] ^ fps[v]).sum(1) <= radius
-            u, v = u[near], v[near]
-            us.append(u)
-            vs.append(v)
-            held += len(u)
+        ok = near(at, at + step)
+        if ok.any():
+            us.append(at[ok])
+            vs.append(at[ok] + step)
+            held += len(us[-1])
             if held > 4 * n + 100_000:
                 root = forest(np.concatenate([*us, np.arange(n)]), np.concatenate([*vs, root]), n)
                 us, vs, held = [], [], 0
@@ -178,6 +170,23 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int)
     return child, root[child]
 
 
+def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within buckets: discarded by pivot distances first, survivors verified."""
+    table = pivots.distances(fps)
+
+    def near(u, v):
+        left = np.arange(len(u))
+        for p in range(table.shape[1]):
+            left = left[np.abs(table[u[left], p] - table[v[left], p]) <= radius]
+            if not len(left):
+                break
+        out = np.zeros(len(u), bool)
+        out[left] = np.bitwise_count(fps[u[left]] ^ fps[v[left]]).sum(1) <= radius
+        return out
+
+    return spanning_links(keys, near)
+
+
 def fingerprints(docs: DataFrame, size: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fingerprint (bytes, the highest bit first) of every whole text."""
     ready(docs.sparkSession)
