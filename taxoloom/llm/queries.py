@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, editprint, packing, simhash, substring, topk, toxicity, urls
+from . import bpe, editprint, licenses, lines, packing, simhash, substring, topk, toxicity, urls
 from ._run import table
 
 URL_RULES = [
@@ -29,6 +29,14 @@ def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents")).select("doc_id", "license", F.round("dice", 6).alias("dice"), "n_hits")
+
+
+def op5_line_dedup(spark, sf_dir):
+    return lines.dedup(table(spark, sf_dir, "documents"), digest=True)
+
+
 def op6_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), size=3, words=1, radius=2)
     return found.select("doc_id", F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
@@ -60,10 +68,12 @@ QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_edit_fingerprint": op2_edit_fingerprint,
     "op3_packing": op3_packing,
+    "op4_license_scan": op4_license_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash": op6_simhash,
     "op7_substring_dedup": op7_substring_dedup,
     "op8_bpe": op8_bpe,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
