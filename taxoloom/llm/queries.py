@@ -76,4 +76,22 @@ QUERIES = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": lines.ORACLE}
+
+TOP_K_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM e q JOIN e c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 10
+"""
+_RULES = ", ".join(str((verdict, host, path)) for verdict, host, path in URL_RULES)
+_BLOCKED = ", ".join(f"('{h}')" for h in urls.DEFAULT_BLOCKED)
+URL_SQL = f"""
+WITH rules(verdict, rh, rp) AS (VALUES {_RULES}), blocked(bh) AS (VALUES {_BLOCKED}),
+u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+f AS (SELECT page_id, arg_max(rh || rp, len(rh || rp)) AS rule, arg_max(verdict, len(rh || rp)) AS verdict FROM p JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+b AS (SELECT DISTINCT page_id FROM p JOIN blocked ON host = bh OR ends_with(host, '.' || bh))
+SELECT p.page_id, host, path, rule, coalesce(f.verdict, CASE WHEN b.page_id IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+FROM p LEFT JOIN f ON f.page_id = p.page_id LEFT JOIN b ON b.page_id = p.page_id
+"""
+ORACLES: dict[str, str] = {"op1_top_k": TOP_K_SQL, "op5_line_dedup": lines.ORACLE, "op9_url_filter": URL_SQL}

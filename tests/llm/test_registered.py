@@ -1,4 +1,4 @@
-"""Queries on the smallest tables; line dedup and URL rules against SQL."""
+"""Queries on the smallest tables; top-k, line dedup and URL rules against SQL."""
 
 import duckdb
 import pytest
@@ -15,7 +15,7 @@ def test_query(spark, name):
     assert got
     if name in ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "pages"):
+        for t in ("documents", "pages", "embeddings"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
         cur = con.execute(ORACLES[name])
         names = [c[0] for c in cur.description]
