@@ -131,11 +131,13 @@ def repeated_windows(keyed: DataFrame, window: int) -> DataFrame:
                 )
 
     level1 = written(keyed.select("_t1", "_text").mapInArrow(halves, "h long, _t1 long, at int"), "substring-halves")
-    twice = level1.df.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    places = level1.df.join(twice, "h", "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("places"))
+    # Written, so that both sides of the join are exchanges of their own, whose large partitions Spark splits.
+    twice1 = written(level1.df.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "substring-twice1")
+    places = level1.df.join(twice1.df, "h", "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("places"))
     copies = keyed.groupBy("_t1").agg(F.count("*").alias("c"), F.min("_id").alias("first")).where("c > 1")
     found = written(places.join(copies, "_t1", "left").withColumn("c", F.coalesce("c", F.lit(1))), "substring-places")
     level1.drop()
+    twice1.drop()
 
     def windows(batches):
         for b in batches:
@@ -151,14 +153,15 @@ def repeated_windows(keyed: DataFrame, window: int) -> DataFrame:
 
     one_each = keyed.join(found.df, "_t1").where((F.col("c") == 1) | F.col("_id").eqNullSafe(F.col("first")))
     level2 = written(one_each.select("_t1", "_text", "places", "c").mapInArrow(windows, "h long, g int, _t1 long, at int, w int"), "substring-windows")
-    twice = level2.df.groupBy("h", "g").agg(F.sum("w").alias("c")).where("c > 1").select("h", "g")
-    starts = level2.df.join(twice, ["h", "g"], "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("starts"))
+    twice2 = written(level2.df.groupBy("h", "g").agg(F.sum("w").alias("c")).where("c > 1").select("h", "g"), "substring-twice2")
+    starts = level2.df.join(twice2.df, ["h", "g"], "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("starts"))
     result = written(
         starts.join(copies.select("_t1", F.lit(True).alias("whole")), "_t1", "full").select("_t1", "starts", F.coalesce("whole", F.lit(False)).alias("whole")),
         "substring-starts",
     )
     found.drop()
     level2.drop()
+    twice2.drop()
     return result.df
 
 
