@@ -32,7 +32,7 @@ from ._run import ready
 from ._text import chunks, codes_of, gather, strings
 from .bpe import byte_symbols
 
-CHARS = 2_000_000
+CHARS = 1_000_000
 _CODERS: dict[str, ByteBpe] = {}
 _SENTENCE_END = re.compile(r"[.!?。！？…\n][\"'”’)\]]*$")
 
