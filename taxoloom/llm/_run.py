@@ -10,11 +10,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bound of an Arrow batch on its way to Python, unless the session sets its own: records alone don't bound
+#: the memory of a worker and of Spark's buffers where texts are long.
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 def ready(spark: SparkSession) -> None:
-    """Let Python workers import this package when only the driver's sys.path holds it."""
+    """Let Python workers import this package when only the driver's sys.path holds it; bound Arrow batches by bytes."""
+    if BATCH_KEY not in spark.conf.getAll:
+        spark.conf.set(BATCH_KEY, BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in parts:
