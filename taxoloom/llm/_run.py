@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
+import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bound of an Arrow batch on its way to Python, unless the session sets its own: records alone don't bound
@@ -26,6 +29,36 @@ def ready(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # a C library without it
+        pass
+
+
+def lean(run, pause: float = 1.0):
+    """``run`` for mapInArrow, giving memory back at most every ``pause`` seconds and at the end.
+
+    A worker serves many tasks of many stages; what one has freed shouldn't stand beside what the next one takes.
+    """
+
+    def lean_run(batches):
+        at = time.monotonic()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                if time.monotonic() - at > pause:
+                    give_back()
+                    at = time.monotonic()
+        finally:
+            give_back()
+
+    return lean_run
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._pieces import PieceTable, split_words
-from ._run import ready
+from ._run import lean, ready
 from ._text import chunks, codes_of, gather, strings
 
 #: Characters that one worker handles at a time, or one longer text.
@@ -222,5 +222,5 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), sizes, *cols], names)
 
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, {rest}")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"id {kind}, n_tokens bigint, {rest}")
     return out.withColumnRenamed("id", id_col)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructType
 
 from ._components import components
-from ._run import ready, written
+from ._run import lean, ready, written
 from ._text import mix, strings
 from .simhash import spanning_links
 
@@ -253,7 +253,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 yield out
             yield edge(2, ids[0], texts[0], prints[0])
 
-    done = written(dealt.mapInArrow(run, schema), "editprint").df
+    done = written(dealt.mapInArrow(lean(run), schema), "editprint").df
     edges = done.where("edge > 0").select("id", "text", "fingerprint", "edge", "part")
     line = Window.orderBy("part", "edge")  # two rows a partition
     struct = F.struct("text", "fingerprint")
@@ -267,7 +267,7 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
                 a = [c.column(k).to_pylist() for k in range(5)]
                 yield pa.RecordBatch.from_arrays(_pairs(a[0], a[1], a[3], as_rows(a[2]), as_rows(a[4]), c.column(0).type), _COLUMNS)
 
-    out = done.where("edge = 0").select(*_COLUMNS).union(tails.mapInArrow(finish, _schema(field)))
+    out = done.where("edge = 0").select(*_COLUMNS).union(tails.mapInArrow(lean(finish), _schema(field)))
     return out.withColumnRenamed("id", id_col)
 
 
@@ -280,7 +280,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(as_strings(walk(strings(b.column(1)))), pa.string())], ["id", "fingerprint"])
 
     schema = StructType().add("id", docs.schema[id_col].dataType).add("fingerprint", StringType())
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
 def similar_documents(docs: DataFrame, least: float = 0.8, bands: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -313,7 +313,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, bands: int = 16, id_c
         if len(keys_):
             yield out(keys_, prints_)
 
-    links = classes.df.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(paired, "a string, b string")
+    links = classes.df.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a string, b string")
     tree = components(links, "editprint-links")
     rooted = classes.df.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("class_id"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
-from ._run import ready
+from ._run import lean, ready
 from ._text import strings
 
 #: Notices by SPDX name (fixed values); one name may have several.
@@ -134,4 +134,4 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, most_line
                 ["id", "license", "dice", "n_hits", "hits"],
             )
 
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._run import Written, ready, written
+from ._run import Written, lean, ready, written
 
 
 def _lines(keyed: DataFrame, text: str) -> DataFrame:
@@ -125,7 +125,7 @@ def dedup(docs: DataFrame, long_words: int = 8, id_col: str = "doc_id", text_col
                 [*kept, "n_lines", "n_removed", "longest_run", "out"],
             )
 
-    done = plain.join(gone, "_d", "left").select(*kept, F.col(text).cast("string"), "gone", "longest_run").mapInArrow(run, schema)
+    done = plain.join(gone, "_d", "left").select(*kept, F.col(text).cast("string"), "gone", "longest_run").mapInArrow(lean(run), schema)
     if digest:
         return done.select(F.col(ident).alias(id_col), "n_lines", "n_removed", F.col("out").alias("kept_sha256"))
     back = [F.col("out" if c == text else c).alias(o) for c, o in zip(names, docs.columns, strict=True)]

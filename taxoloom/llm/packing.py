@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from ._pieces import PieceTable, split_byte_level
-from ._run import ready
+from ._run import lean, ready
 from ._text import chunks, codes_of, gather, strings
 from .bpe import byte_symbols
 
@@ -243,5 +243,5 @@ def pack(
             yield rows(packer.block([], [], True), id_type)
 
     rest = ", ".join(f"{c} bigint" for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))
-    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {kind}, {rest}")
+    out = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), f"id {kind}, {rest}")
     return out.withColumnRenamed("id", id_col)

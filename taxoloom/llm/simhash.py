@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructType
 
 from ._components import components
-from ._run import ready, written
+from ._run import lean, ready, written
 from ._text import mix
 
 SEED = 42
@@ -197,7 +197,7 @@ def fingerprints(docs: DataFrame, size: int, words: int, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(x or b"", size, words) for x in raw], pa.binary())], ["id", "fp"])
 
     schema = StructType().add("id", docs.schema[id_col].dataType).add("fp", BinaryType())
-    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
 def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit: int = 8192) -> DataFrame:
@@ -232,14 +232,14 @@ def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit:
             yield out(keys, x)
 
     def links_of(rows: DataFrame) -> DataFrame:
-        return rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(paired, "a binary, b binary")
+        return rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary")
 
-    rows = fps.select("fp").mapInArrow(keyed(pivots.segments), "key long, fp binary")
+    rows = fps.select("fp").mapInArrow(lean(keyed(pivots.segments)), "key long, fp binary")
     hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit).select("key")
     cold = links_of(rows.join(hot, "key", "left_anti"))
     members = rows.join(hot, "key", "left_semi").select("fp").distinct()
     if radius > 2:
-        return cold.union(links_of(members.mapInArrow(keyed(pivots.finer), "key long, fp binary")))
+        return cold.union(links_of(members.mapInArrow(lean(keyed(pivots.finer)), "key long, fp binary")))
 
     def flips(batches):
         one = np.zeros((64 * words, words), np.uint64)
@@ -256,7 +256,7 @@ def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit:
 
     if radius == 1:
         raise ValueError("a radius of one is not offered; use 0 or 2")
-    met = members.mapInArrow(flips, "z binary, a binary")
+    met = members.mapInArrow(lean(flips), "z binary, a binary")
     least = met.groupBy("z").agg(F.min("a").alias("b"))
     return cold.union(met.join(least, "z").where("a <> b").select("a", "b").distinct())
 

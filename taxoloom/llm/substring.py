@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
-from ._run import ready, written
+from ._run import lean, ready, written
 from ._text import mix
 
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -130,7 +130,7 @@ def repeated_windows(keyed: DataFrame, window: int) -> DataFrame:
                     ["h", "_t1", "at"],
                 )
 
-    level1 = written(keyed.select("_t1", "_text").mapInArrow(halves, "h long, _t1 long, at int"), "substring-halves")
+    level1 = written(keyed.select("_t1", "_text").mapInArrow(lean(halves), "h long, _t1 long, at int"), "substring-halves")
     # Written, so that both sides of the join are exchanges of their own, whose large partitions Spark splits.
     twice1 = written(level1.df.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "substring-twice1")
     places = level1.df.join(twice1.df, "h", "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("places"))
@@ -152,7 +152,7 @@ def repeated_windows(keyed: DataFrame, window: int) -> DataFrame:
                 )
 
     one_each = keyed.join(found.df, "_t1").where((F.col("c") == 1) | F.col("_id").eqNullSafe(F.col("first")))
-    level2 = written(one_each.select("_t1", "_text", "places", "c").mapInArrow(windows, "h long, g int, _t1 long, at int, w int"), "substring-windows")
+    level2 = written(one_each.select("_t1", "_text", "places", "c").mapInArrow(lean(windows), "h long, g int, _t1 long, at int, w int"), "substring-windows")
     twice2 = written(level2.df.groupBy("h", "g").agg(F.sum("w").alias("c")).where("c > 1").select("h", "g"), "substring-twice2")
     starts = level2.df.join(twice2.df, ["h", "g"], "left_semi").groupBy("_t1").agg(F.collect_set("at").alias("starts"))
     result = written(
@@ -201,7 +201,7 @@ def dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: s
             )
 
     schema = StructType([*fields]).add("n_words", LongType()).add("n_removed", LongType()).add("out", StringType())
-    done = full.select(*kept, F.col(text).cast("string"), "starts", "whole").mapInArrow(run, schema)
+    done = full.select(*kept, F.col(text).cast("string"), "starts", "whole").mapInArrow(lean(run), schema)
     if digest:
         return done.select(F.col(ident).alias(id_col), "n_words", "n_removed", F.col("out").alias("kept_sha256"))
     back = [F.col("out" if c == text else c).alias(o) for c, o in zip(names, docs.columns, strict=True)]

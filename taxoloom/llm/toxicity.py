@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._run import ready, written
+from ._run import lean, ready, written
 from ._text import strings
 
 #: Letters that look like Latin ones (fixed values), then digits and signs used for letters.
@@ -201,7 +201,7 @@ def learn(
             texts = [fold(t) for t in strings(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(map(_group, texts), pa.int64()), b.column(2), pa.array(texts, pa.string())], ["g", "y", "t"])
 
-    firsts = sample.mapInArrow(folded, "g long, y int, t string").groupBy("g", "y").agg(F.min("t").alias("t"))
+    firsts = sample.mapInArrow(lean(folded), "g long, y int, t string").groupBy("g", "y").agg(F.min("t").alias("t"))
     base = written(firsts, "toxicity-sample")
 
     def count(batches):
@@ -218,7 +218,7 @@ def learn(
     sizes = {r["y"]: r["n"] for r in base.df.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, positives // 200)
-    summed = base.df.select("t", "y").mapInArrow(count, "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    summed = base.df.select("t", "y").mapInArrow(lean(count), "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     top = summed.where((F.col("p") >= least) & (F.col("p") >= 4 * F.col("n"))).orderBy(F.desc("p"), "f").limit(max_entries)
     entries = select_entries([tuple(r) for r in top.collect()], positives, negatives, least)
     model = Model(entries, exceptions=exceptions)
@@ -230,7 +230,7 @@ def learn(
                 [pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int32()), b.column(1)], ["s", "w", "y"]
             )
 
-    rows = base.df.select("t", "y").mapInArrow(measured, "s double, w int, y int").collect()
+    rows = base.df.select("t", "y").mapInArrow(lean(measured), "s double, w int, y int").collect()
     model.coefficients = fit(sorted(tuple(r) for r in rows))
     base.drop()
     return model
@@ -267,4 +267,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     from pyspark.sql.types import DoubleType, IntegerType, StructType
 
     schema = StructType([docs.schema[c] for c in kept]).add(names[-3], DoubleType()).add(names[-2], IntegerType()).add(names[-1], IntegerType())
-    return docs.select(*(docs[c] for c in kept), docs[text_col].alias("_whole_text")).mapInArrow(run, schema)
+    return docs.select(*(docs[c] for c in kept), docs[text_col].alias("_whole_text")).mapInArrow(lean(run), schema)
