@@ -157,14 +157,15 @@ def spanning_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
         at = at[keys[at] == keys[at + step]]
         if not len(at):
             break
-        ok = near(at, at + step)
+        if held > 4 * n + 100_000 or step >= 16 and not step & (step - 1):
+            root = forest(np.concatenate([*us, np.arange(n)]), np.concatenate([*vs, root]), n)
+            us, vs, held = [], [], 0
+        u = at[root[at] != root[at + step]]  # pairs that earlier links already join need no look
+        ok = near(u, u + step)
         if ok.any():
-            us.append(at[ok])
-            vs.append(at[ok] + step)
+            us.append(u[ok])
+            vs.append(u[ok] + step)
             held += len(us[-1])
-            if held > 4 * n + 100_000:
-                root = forest(np.concatenate([*us, np.arange(n)]), np.concatenate([*vs, root]), n)
-                us, vs, held = [], [], 0
     root = forest(np.concatenate([*us, np.arange(n)]), np.concatenate([*vs, root]), n)
     child = np.nonzero(root != np.arange(n))[0]
     return child, root[child]

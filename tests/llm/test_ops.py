@@ -440,3 +440,17 @@ def test_toxicity_exceptions_and_no_labels(spark):
     assert not none.entries and toxicity.score(spark.createDataFrame(ODD, TEXT), none).count() == len(ODD)
     kept = toxicity.score(spark.createDataFrame([(1, "x", 2.0)], "doc_id long, text string, score double"), model, keep=True)
     assert kept.columns == ["doc_id", "text", "score", "tox_score", "tox_hits", "tox_predicted"]
+
+
+def test_spanning_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(1)
+    for _ in range(30):
+        n = int(rng.integers(1, 400))
+        keys = np.sort(rng.integers(0, rng.integers(1, 6), n))
+        place = rng.integers(0, rng.integers(2, 3000), n)
+        u, v = np.triu_indices(n, 1)
+        linked = (keys[u] == keys[v]) & (np.abs(place[u] - place[v]) <= 3)
+        want = simhash.forest(u[linked], v[linked], n)
+        child, root = simhash.spanning_links(keys, lambda a, b, p=place: np.abs(p[a] - p[b]) <= 3)
+        assert np.array_equal(simhash.forest(child, root, n), want)
+        assert len(child) == n - len(set(want.tolist()))
