@@ -16,7 +16,8 @@ the bits only ("segments"):
 4. Buckets of more than ``bucket_limit`` classes are not gathered in a task. For a radius of two or less each
    of their members is sent to itself and all fingerprints one bit away: two members meet exactly if they are
    within two bits (a shared point is then within one bit of both), and a minimum for each point links them,
-   linearly and exactly. For larger radii their keys are refined with more segments.
+   linearly and exactly. For larger radii a bucket is dealt into blocks of half the limit and every two blocks
+   meet in a task, so every pair of the bucket is still looked at.
 5. Components come from ``_components``; each is named by its smallest document id.
 
 Null texts count as empty; a text without words has fingerprint zero. Repeated rows and ids are fine: rows
@@ -94,7 +95,7 @@ class Pivots:
     words: int
     segments: tuple[int, ...]
     count: int = 16
-    finer: tuple[int, ...] = ()
+    finer: tuple[int, ...] = ()  # not used: large buckets keep their keys
 
     def table(self) -> np.ndarray:
         return np.random.default_rng(2024).integers(0, 1 << 64, (self.count, self.words), np.uint64, endpoint=False)
@@ -201,6 +202,13 @@ def fingerprints(docs: DataFrame, size: int, words: int, id_col: str = "doc_id",
     return docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(lean(run), schema)
 
 
+def met_in_blocks(rows: DataFrame, member: str, blocks: F.Column) -> DataFrame:
+    """The rows with each ``key`` dealt into ``blocks`` by member, once for every two blocks: all pairs of a key share a new key."""
+    own = F.pmod(F.xxhash64(member), blocks)
+    met = rows.withColumn("_own", own).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks.cast("long") - 1)))
+    return met.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).select(*(c for c in rows.columns if c != "count"))
+
+
 def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit: int = 8192) -> DataFrame:
     """Links a, b among distinct fingerprints (column fp) that connect whatever is within the radius."""
     ready(fps.sparkSession)
@@ -236,11 +244,10 @@ def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit:
         return rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary")
 
     rows = fps.select("fp").mapInArrow(lean(keyed(pivots.segments)), "key long, fp binary")
-    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit).select("key")
+    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
     cold = links_of(rows.join(hot, "key", "left_anti"))
-    members = rows.join(hot, "key", "left_semi").select("fp").distinct()
     if radius > 2:
-        return cold.union(links_of(members.mapInArrow(lean(keyed(pivots.finer)), "key long, fp binary")))
+        return cold.union(links_of(met_in_blocks(rows.join(hot, "key"), "fp", F.ceil(2 * F.col("count") / bucket_limit))))
 
     def flips(batches):
         one = np.zeros((64 * words, words), np.uint64)
@@ -257,6 +264,7 @@ def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit:
 
     if radius == 1:
         raise ValueError("a radius of one is not offered; use 0 or 2")
+    members = rows.join(hot, "key", "left_semi").select("fp").distinct()
     met = members.mapInArrow(lean(flips), "z binary, a binary")
     least = met.groupBy("z").agg(F.min("a").alias("b"))
     return cold.union(met.join(least, "z").where("a <> b").select("a", "b").distinct())

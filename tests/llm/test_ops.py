@@ -284,6 +284,30 @@ def test_wide_simhash_groups_near_copies(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_wide_simhash_loses_no_pair_of_a_large_bucket(spark):
+    """Bases with copies that differ in 30 to 44 bits; whatever shares one of the 48 keys is compared, whatever the bucket's size."""
+    rng = np.random.default_rng(5)
+    fps = []
+    for _ in range(20):
+        base = rng.integers(0, 2, 256)
+        for d in (0, 30, 38, 44):
+            bits = base.copy()
+            bits[rng.choice(256, d, replace=False)] ^= 1
+            fps.append(np.packbits(bits).tobytes())
+    fps = sorted(set(fps))
+    pivots = simhash.Pivots(4, tuple(simhash.sampled_segments(4, 48, 16)))
+    x = np.frombuffer(b"".join(fps), ">u8").astype(np.uint64).reshape(-1, 4)
+    keys = [pivots.key(x, j, m) for j, m in enumerate(pivots.segments)]
+    pairs = [(a, b) for a in range(len(fps)) for b in range(a) if np.bitwise_count(x[a] ^ x[b]).sum() <= 44 and any(k[a] == k[b] for k in keys)]
+    want = simhash.forest(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]), len(fps))
+    table = spark.createDataFrame([(f,) for f in fps], "fp binary")
+    for limit in (8192, 1):
+        links = simhash.fingerprint_links(table, pivots, 44, limit).collect()
+        at = {f: n for n, f in enumerate(fps)}
+        got = simhash.forest(np.array([at[bytes(r.a)] for r in links]), np.array([at[bytes(r.b)] for r in links]), len(fps))
+        assert len(pairs) > 20 and np.array_equal(got, want), limit
+
+
 def test_components(spark):
     rng = random.Random(6)
     links = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(200 + i, 201 + i) for i in range(40)] + [(0, 500 + i) for i in range(50)]
