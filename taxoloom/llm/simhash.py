@@ -18,7 +18,9 @@ the bits only ("segments"):
    within two bits (a shared point is then within one bit of both), and a minimum for each point links them,
    linearly and exactly. For larger radii a bucket is dealt into blocks of half the limit and every two blocks
    meet in a task, so every pair of the bucket is still looked at.
-5. Components come from ``_components``; each is named by its smallest document id.
+5. Where texts are to be compared by their shingle sets (``keep_one``), components of links are candidates only:
+   within each, pairs are verified by the exact Jaccard similarity, and components are formed anew.
+6. Components come from ``_components``; each is named by its smallest document id.
 
 Null texts count as empty; a text without words has fingerprint zero. Repeated rows and ids are fine: rows
 with one id share a component only if their fingerprints link them. Null ids never name a component that has
@@ -36,7 +38,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import BinaryType, LongType, StructType
 
 from ._components import components
 from ._run import lean, ready, written
@@ -60,7 +62,10 @@ def shingle_hashes(raw: bytes, size: int) -> np.ndarray:
 
 
 def fingerprint(raw: bytes, size: int, words: int) -> bytes:
-    h = shingle_hashes(raw, size)
+    return fingerprint_of(shingle_hashes(raw, size), words)
+
+
+def fingerprint_of(h: np.ndarray, words: int) -> bytes:
     if not len(h):
         return bytes(8 * words)
     out = []
@@ -174,7 +179,8 @@ def spanning_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links within buckets: discarded by pivot distances first, survivors verified."""
-    table = pivots.distances(fps)
+    # unrelated fingerprints lie within some deviations of one distance to any pivot: a wide radius discards none
+    table = pivots.distances(fps) if radius <= 2 * (64 * pivots.words) ** 0.5 else np.zeros((len(fps), 0), np.int16)
 
     def near(u, v):
         left = np.arange(len(u))
@@ -289,3 +295,108 @@ def near_duplicates(
     named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of_class = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return prints.df.join(of_class, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    """Number of shared values of two sorted arrays without repeats."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
+
+
+def set_links(keys: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], radius: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links of the pairs of equal key whose sets have a Jaccard similarity of ``least`` or more."""
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def near(u, v):
+        out = np.zeros(len(u), bool)
+        left = np.nonzero(np.minimum(n[u], n[v]) >= least * np.maximum(n[u], n[v]) - 1e-9)[0]
+        left = left[np.bitwise_count(fps[u[left]] ^ fps[v[left]]).sum(1) <= radius]
+        for k in left.tolist():
+            both = overlap(sets[u[k]], sets[v[k]])
+            out[k] = both >= least * (n[u[k]] + n[v[k]] - both) - 1e-9
+        return out
+
+    return spanning_links(keys, near)
+
+
+def keep_one(
+    docs: DataFrame,
+    size: int,
+    words: int,
+    radius: int,
+    segments: list[int],
+    least: float = 0.8,
+    bucket_limit: int = 8192,
+    block_shingles: int = 1 << 20,
+    at_once: int = 32,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """Of each group of texts linked by shingle sets of Jaccard similarity ``least`` or more, the smallest id's rows.
+
+    Texts of equal sets are one class. Fingerprints (of the sets) within ``radius`` that meet in a segment make
+    candidates; ``at_once`` segments are searched at a time, which bounds the space of their shuffle. Candidates
+    are gathered by component, in blocks of at most about ``block_shingles`` shingles that meet two by two.
+    """
+    ready(docs.sparkSession)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    keyed = docs.select(F.xxhash64(docs[id_col], text, F.length(text)).alias("row"), docs[id_col].alias("id"), text.alias("text"))
+
+    def run(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, size)) for x in b.column(2).cast(pa.binary()).to_pylist()]
+            cls = [xxhash.xxh3_128_digest(h.tobytes()) for h in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(cls, pa.binary()), pa.array([fingerprint_of(h, words) for h in sets], pa.binary()), pa.array(map(len, sets), pa.int64())],
+                ["row", "id", "cls", "fp", "n"],
+            )
+
+    schema = StructType().add("row", LongType()).add("id", docs.schema[id_col].dataType).add("cls", BinaryType()).add("fp", BinaryType()).add("n", LongType())
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    classes = written(keyed.mapInArrow(lean(run), schema).groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first), "near-classes").df
+    fps = written(classes.where("n > 0").select("fp").distinct(), "near-prints")
+    parts = [tuple(segments[k : k + at_once]) for k in range(0, len(segments), at_once)]
+    met = [written(fingerprint_links(fps.df, Pivots(words, p), radius, bucket_limit), "near-met") for p in parts]
+    links = met[0].df
+    for other in met[1:]:
+        links = links.union(other.df)
+    tree = components(links, "near-candidates")
+    for t in (fps, *met):
+        t.drop()
+    rooted = classes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("cls", "fp", "n", F.col("first.row").alias("row"), F.coalesce("root", "fp").alias("root"))
+    many = rooted.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1").drop("c")
+    members = written(rooted.join(many, "root").select("row", "cls", "fp", F.xxhash64("root").alias("key"), F.ceil(2 * F.col("total") / block_shingles).alias("count")), "near-members")
+
+    def with_set(batches):
+        for b in batches:
+            sets = [np.unique(shingle_hashes(x, size)).tobytes() for x in b.column(4).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), pa.array(sets, pa.binary())], ["key", "cls", "fp", "count", "set"])
+
+    def verified(batches):
+        keys, cls, fp, sets = np.zeros(0, np.int64), [], [], []
+
+        def out(n):
+            a, b = set_links(keys[:n], np.frombuffer(b"".join(fp[:n]), ">u8").astype(np.uint64).reshape(-1, words), sets[:n], radius, least)
+            return pa.RecordBatch.from_arrays([pa.array([cls[i] for i in a], pa.binary()), pa.array([cls[i] for i in b], pa.binary())], ["a", "b"])
+
+        for b in batches:
+            keys = np.concatenate((keys, b.column(0).to_numpy()))
+            cls += b.column(1).to_pylist()
+            fp += b.column(2).to_pylist()
+            sets += [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if done:
+                yield out(done)
+                keys, cls, fp, sets = keys[done:], cls[done:], fp[done:], sets[done:]
+        if len(keys):
+            yield out(len(keys))
+
+    texts = keyed.join(members.df, "row").dropDuplicates(["row"]).select("key", "cls", "fp", "count", "text")
+    rows = met_in_blocks(texts.mapInArrow(lean(with_set), "key long, cls binary, fp binary, count long, set binary"), "cls", F.col("count"))
+    pairs = rows.select("key", "cls", "fp", "set").repartition(F.col("key")).sortWithinPartitions("key", F.length("set"), "fp")
+    near = components(pairs.mapInArrow(lean(verified), "a binary, b binary"), "near-links")
+    members.drop()
+    named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_chosen"))
+    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi").dropDuplicates([id_col])

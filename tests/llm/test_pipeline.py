@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from taxoloom.llm import simhash
 
 
 def _corpus(spark, folder):
@@ -51,3 +52,26 @@ def test_run_and_empty(spark, tmp_path):
     empty = spark.read.parquet(f"{tmp_path}/documents.parquet").limit(0)
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0, name
+
+
+def _pair(rng, n, shared):
+    """Two texts of n and n shingles of five words, of which ``shared`` are common."""
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=8))
+    common = [word() for _ in range(shared + 4)]
+    return [" ".join(common + [word() for _ in range(n - shared)]) for _ in range(2)]
+
+
+def test_near_copies_are_those_of_jaccard_four_fifths(spark):
+    rng = random.Random(12)
+    data = []
+    for i in range(60):
+        n = 18 * rng.randint(3, 12)
+        for k, shared in ((0, n * 16 // 18), (1000, n * 15 // 18)):  # 16/20 and 15/21
+            data += [(k + 2 * i + j, t) for j, t in enumerate(_pair(rng, n, shared))]
+    rng.shuffle(data)
+    for limits in ({}, {"bucket_limit": 1, "block_shingles": 100}):
+        docs = spark.createDataFrame(data if not limits else [x for x in data if x[0] % 1000 < 16], "doc_id long, text string")
+        segments = simhash.sampled_segments(4, corpus_pipeline.NEAR_BANDS, corpus_pipeline.NEAR_BITS)
+        kept = corpus_pipeline.drop_near_copies(spark, docs, "") if not limits else simhash.keep_one(docs, 5, 4, corpus_pipeline.NEAR_RADIUS, segments, **limits)
+        want = {i for i in (r.doc_id for r in docs.collect()) if i >= 1000 or i % 2 == 0}
+        assert {r.doc_id for r in kept.collect()} == want
