@@ -47,7 +47,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays (of equal ids, one row)."""
+    """Of each group of near duplicates one row with the smallest id stays."""
     segments = simhash.sampled_segments(NEAR_WORDS, NEAR_BANDS, NEAR_BITS)
     return simhash.keep_one(docs, 5, NEAR_WORDS, NEAR_RADIUS, segments, NEAR_LEAST)
 

@@ -333,8 +333,10 @@ def keep_one(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Of each group of texts linked by shingle sets of Jaccard similarity ``least`` or more, the smallest id's rows.
+    """Of each group of texts linked by shingle sets of Jaccard similarity ``least`` or more, the row of the smallest id.
 
+    Rows are told apart by id and text, so null and repeated ids with unrelated texts stay; a null id counts as
+    the largest, and one row stays of rows equal in both.
     Texts of equal sets are one class. Fingerprints (of the sets) within ``radius`` that meet in a segment make
     candidates; ``at_once`` segments are searched at a time, which bounds the space of their shuffle. Candidates
     are gathered by component, in blocks of at most about ``block_shingles`` shingles that meet two by two.
@@ -398,5 +400,10 @@ def keep_one(
     near = components(pairs.mapInArrow(lean(verified), "a binary, b binary"), "near-links")
     members.drop()
     named = classes.join(near.withColumnRenamed("node", "cls"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.id").alias("_chosen"))
-    return docs.join(chosen, docs[id_col].eqNullSafe(chosen["_chosen"]), "left_semi").dropDuplicates([id_col])
+    chosen = named.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("_chosen"))
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    plain = docs.toDF(*names)
+    own, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    kept = plain.withColumn("_row", F.xxhash64(own, text, F.length(text))).join(chosen, F.col("_row") == F.col("_chosen"), "left_semi")
+    return kept.dropDuplicates(["_row"]).drop("_row").toDF(*docs.columns)

@@ -75,3 +75,11 @@ def test_near_copies_are_those_of_jaccard_four_fifths(spark):
         kept = corpus_pipeline.drop_near_copies(spark, docs, "") if not limits else simhash.keep_one(docs, 5, 4, corpus_pipeline.NEAR_RADIUS, segments, **limits)
         want = {i for i in (r.doc_id for r in docs.collect()) if i >= 1000 or i % 2 == 0}
         assert {r.doc_id for r in kept.collect()} == want
+
+
+def test_near_copies_are_chosen_by_row(spark):
+    rng = random.Random(13)
+    a, b, c, d, e = (" ".join("".join(rng.choices("abcdefgh", k=8)) for _ in range(60)) for _ in range(5))
+    data = [(None, a), (None, b), (None, c + " x"), (4, c), (4, d), (9, d + " y"), (9, e), (9, e)]
+    got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(None, a), (None, b), (4, c), (4, d), (9, e)], key=str)
