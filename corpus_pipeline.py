@@ -42,8 +42,8 @@ def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated lines and runs of lines are cut out of the texts."""
-    return _same_columns(docs, lines.dedup(docs))
+    """Later copies of repeated lines, however short, and so of runs of lines are cut out of the texts."""
+    return _same_columns(docs, lines.dedup(docs, long_words=1))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,9 @@ def test_near_copies_are_chosen_by_row(spark):
     data = [(None, a), (None, b), (None, c + " x"), (4, c), (4, d), (9, d + " y"), (9, e), (9, e)]
     got = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted([(None, a), (None, b), (4, c), (4, d), (9, e)], key=str)
+
+
+def test_later_copies_of_short_lines_go(spark):
+    data = [(1, "first text\nread more here\nend one"), (2, "second text\nread more here\nend two"), (3, "x\nread more here\nx")]
+    got = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(data, "doc_id long, text string"), "")
+    assert sorted(tuple(r) for r in got.collect()) == [(1, data[0][1]), (2, "second text\nend two"), (3, "x")]
