@@ -1,7 +1,8 @@
 """License scans: stretches of lines compared with licence templates by the Dice coefficient of word bigrams.
 
 Text is normalised (lower case; every run of characters other than letters, digits, dots and plus signs is
-one blank; dots at word ends go). A stretch is one line, or up to ``most_lines`` lines in a row. With A and B
+one blank; dots at word ends go). A stretch is any run of words, whatever lines it stands on; with ``most_lines``
+it is one line or up to so many whole lines in a row. With A and B
 the bigram counts of stretch and template, Dice = 2 |A and B| / (|A| + |B|), with multiplicity. At a
 threshold t it can only be reached if |A| lies between t/(2-t) |B| and (2-t)/t |B|, so templates outside that
 bound are passed over, and so are lines that hold none of a template's anchor words: words without whose
@@ -55,7 +56,7 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, threshold: float = 0.8, most_lines: int = 8):
+    def __init__(self, templates=TEMPLATES, threshold: float = 0.8, most_lines: int | None = 8):
         self.threshold, self.most_lines = threshold, most_lines
         self.templates = []
         everywhere: Counter = Counter(x for _, t in templates for x in set(words(t)))
@@ -75,8 +76,46 @@ class Scanner:
         self.longest = max((t[3] for t in self.templates), default=0)
         self.anchor = re.compile("|".join(map(re.escape, sorted(anchors, key=len, reverse=True)))) if anchors else None
 
+    def windows(self, text: str) -> list[tuple[str, int, int, float]]:
+        """As ``scan``, over all runs of words inside a template's size bounds."""
+        if self.anchor is None or not self.anchor.search(text.lower()):
+            return []
+        w, line = [], []
+        for i, x in enumerate(text.split("\n")):
+            got = words(x)
+            w += got
+            line += [i] * len(got)
+        pairs = list(zip(w, w[1:], strict=False))
+        found = []
+        for name, b, low, high in self.templates:
+            # a best window begins and ends with a bigram of the template, or dropping it would raise the score
+            hits = [i for i, x in enumerate(pairs) if x in b]
+            total = sum(b.values())
+            for k, first in enumerate(hits):
+                seen: Counter = Counter()
+                both = 0
+                for last in hits[k:]:
+                    size = last - first + 1
+                    if size > high:
+                        break
+                    x = pairs[last]
+                    seen[x] += 1
+                    both += seen[x] <= b[x]
+                    d = 2 * both / (size + total)
+                    if size >= low and d >= self.threshold:
+                        found.append((-d, size, first, name))
+        out, used = [], set()
+        for d, size, first, name in sorted(found):
+            span = range(first, first + size + 1)
+            if used.isdisjoint(span):
+                used.update(span)
+                out.append((first, (name, line[first], line[first + size] - line[first] + 1, -d)))
+        return [x for _, x in sorted(out)]
+
     def scan(self, text: str) -> list[tuple[str, int, int, float]]:
         """Best template of each matching stretch: name, first line, number of lines, Dice."""
+        if self.most_lines is None:
+            return self.windows(text)
         if self.anchor is None or not self.anchor.search(text.lower()):
             return []
         lines = text.split("\n")
@@ -110,7 +149,7 @@ class Scanner:
         return sorted(out, key=lambda x: x[1])
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, most_lines: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, most_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, license (of the best stretch, else null), dice, n_hits and hits of every whole text.
 
     ``hits`` lists name, first line, number of lines and Dice of stretches that don't overlap, best first

@@ -190,6 +190,18 @@ def test_license_pruning_loses_nothing(parts):
     assert bool(found) == (best >= scanner.threshold)
 
 
+def test_licenses_whatever_the_lines(spark):
+    long = licenses.TEMPLATES[8][1].split()
+    data = [
+        (1, "This project is released under the MIT License and all rights are reserved."),
+        (2, "\n\n".join(" ".join(long[k : k + 3]) for k in range(0, len(long), 3))),
+        (3, "words " * 500 + "licensed under CC BY-NC 4.0 " + "words " * 500),
+        (4, "This project is released and all rights are reserved."),
+    ]
+    got = {r.doc_id: (r.license, r.n_hits) for r in licenses.scan(spark.createDataFrame(data, TEXT)).collect()}
+    assert got == {1: ("MIT", 1), 2: ("GPL-3.0", 1), 3: ("CC-BY-NC-4.0", 1), 4: (None, 0)}
+
+
 # ---- lines ----
 
 
