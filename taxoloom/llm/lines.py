@@ -1,21 +1,29 @@
-"""Line dedup: repeated runs of lines found by a suffix array over line ids, later copies deleted.
-
-Lines are trimmed and named by a 64-bit hash; blank lines are passed over. The suffixes of all documents'
-line sequences are sorted by prefix doubling: level r ranks every window of ``2**r`` lines by the pair of
-ranks of its halves. Only windows that occur at least twice keep a rank and go on, for a window that occurs
-once already has its place among the suffixes; so each level holds fewer rows, and the doubling ends by
-itself when no window repeats. Suffixes that share a rank at level r are an interval of the suffix array
-whose longest common prefix is at least ``2**r`` lines; its first member (by id, then place) is the copy that
-stays.
-
-A line is deleted if it stands in a later copy of a repeated run of at least two lines, or is itself a later
-copy of a line of at least ``long_words`` words. Longer runs consist of such runs, so maximal repeated runs
-go as a whole; ``longest_run`` tells their length as the highest power of two reached.
+"""Line dedup: maximal repeated runs of lines from a suffix array over line ids; later copies are deleted.
+
+Lines are trimmed and named by their MD5; blank lines are passed over. The suffixes of all documents' line
+sequences are sorted by prefix doubling: level r ranks every window of ``2**r`` lines by the pair of ranks of
+its halves, in order. Only windows that occur at least twice keep a rank and go on, for a window that occurs
+once has found its place; so each level holds fewer rows, and the doubling ends by itself when no window
+repeats. Suffixes that share a rank at level r are an interval of the suffix array whose longest common
+prefix is at least ``2**r`` lines.
+
+A suffix that leaves at level r + 1 has a longest common prefix with its neighbours of ``2**r`` lines or more,
+but under ``2**(r + 1)``. Going down the levels again narrows every such interval by half a length at a time:
+the members of an interval of prefix length n that agree in their next ``2**s`` lines are an interval of
+length ``n + 2**s``. Those that find no partner keep n. This gives ``run``, the exact length of the longest
+run that starts at a place and starts elsewhere too. A run is maximal if the place before it hasn't a run
+longer by one.
+
+A line is deleted if it stands in a later copy of a run of at least ``least_lines`` lines (1 by default, so
+every later copy of a line goes, however short). Copies are ordered by id, hash of the text, row and place;
+the first one stays. With one line this is the first member of its interval at level 0; with m lines, of the
+interval of its m-line window.
 
 Each level sorts the distinct pairs only, after counting them with partial aggregation, and joins ranks back
-to windows, a join that Spark can split where one line or run is very common. Null texts have no lines.
-Rows of equal id and equal text count as one document and are treated alike; rows of one id with different
-texts are told apart by the text's hash. Ids sort with null first.
+to windows, a join that Spark can split where one line or run is very common. Rows are numbered once, in a
+written table, so repeated rows (also of one id) are told apart and the later one loses its lines. Null texts
+have no lines and stay null. Ids sort with null first. An empty table gives no rows. Texts of any length are
+one row until their lines are exploded. Other columns of any name are carried along or left out, unread.
 """
 
 from __future__ import annotations
@@ -30,83 +38,118 @@ from pyspark.sql.types import LongType, StringType, StructType
 from ._run import Written, lean, ready, written
 
 
-def _lines(keyed: DataFrame, text: str) -> DataFrame:
-    """One row for each line that isn't blank: place among those, place in the text, words and hash."""
+def _lines(rows: DataFrame, text: str) -> DataFrame:
+    """One row for each line that isn't blank: place among those, place in the text, and MD5."""
     parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     parts = F.filter(parts, lambda x: x["line"] != "")
-    rows = keyed.select("_d", "_id", F.posexplode(parts).alias("seq", "x"))
-    line = F.col("x.line")
-    return rows.select(
-        "_d", "_id", "seq", F.col("x.pos").alias("pos"),
-        (F.length(line) - F.length(F.translate(line, " ", "")) + 1).alias("words"), F.xxhash64(line, F.length(line)).alias("h"),
-    )
-
-
-def _ranked(windows: DataFrame, keys: list[str], name: str) -> Written:
-    """Rank of each repeated key, in key order, and its first place."""
-    place = F.struct("_id", "_d", "seq")
-    groups = windows.groupBy(*keys).agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
-    return written(groups.orderBy(*keys).withColumn("new", F.monotonically_increasing_id()), name)
-
-
-def repeated_runs(keyed: DataFrame, text: str, long_words: int = 8, most_levels: int = 40) -> DataFrame:
-    """Per document ``_d``: places of the lines to delete, and the longest repeated run as a power of two."""
-    lines = written(_lines(keyed, text).groupBy("_d", "seq").agg(*(F.first(c).alias(c) for c in ("_id", "pos", "words", "h"))), "lines-base")
-    ranks = _ranked(lines.df, ["h"], "lines-rank0")
-    own = F.struct("_id", "_d", "seq")
-    later = ~F.col("first").eqNullSafe(own)
-    level = written(lines.df.join(ranks.df, "h").select("_d", "_id", "seq", "pos", "words", F.col("new").alias("rank"), later.alias("later")), "lines-level0")
+    spread = rows.select("_r", "_id", F.unhex(F.md5(text)).alias("_t"), F.posexplode(parts).alias("seq", "x"))
+    return spread.select("_r", "_id", "_t", "seq", F.col("x.pos").alias("pos"), F.unhex(F.md5("x.line")).alias("h"))
+
+
+def _ranked(groups: DataFrame, keys: list[str], name: str) -> Written:
+    """Rank of each key that ``c`` rows share, for c over 1, in key order."""
+    return written(groups.where("c > 1").drop("c").orderBy(*keys).withColumn("rank", F.monotonically_increasing_id()), name)
+
+
+def _ahead(by: int):
+    return Window.partitionBy("_r").orderBy("seq").rangeBetween(by, by)
+
+
+def levels_of(lines: DataFrame, most_levels: int = 40) -> list[Written]:
+    """Rows (_r, seq, rank) of the windows of 1, 2, 4, ... lines that occur at least twice; the last level is empty."""
+    ranks = _ranked(lines.groupBy("h").agg(F.count("*").alias("c")), ["h"], "lines-rank")
+    levels = [written(lines.join(ranks.df, "h").select("_r", "seq", "rank"), "lines-level")]
     ranks.drop()
-    lines.drop()
-    single = level.df.where(F.col("later") & (F.col("words") >= long_words)).select("_d", "pos", F.lit(1).alias("run"))
-    kept, found = [level], [single, level.df.select("_d", F.lit(None).cast("int").alias("pos"), F.lit(1).alias("run")).distinct()]
     for r in range(most_levels):
-        size = 1 << r
-        ahead = Window.partitionBy("_d").orderBy("seq").rangeBetween(size, size)
-        pairs = level.df.withColumn("rank2", F.first("rank").over(ahead)).withColumn("pos2", F.first("pos").over(ahead)).where("rank2 is not null")
-        ranks = _ranked(pairs, ["rank", "rank2"], f"lines-rank{r + 1}")
-        level = written(_next_level(pairs, ranks.df, later), f"lines-level{r + 1}")
+        if r and levels[-1].df.isEmpty():
+            return levels
+        pairs = levels[-1].df.withColumn("rank2", F.first("rank").over(_ahead(1 << r))).where("rank2 is not null").withColumnRenamed("rank", "rank1")
+        ranks = _ranked(pairs.groupBy("rank1", "rank2").agg(F.count("*").alias("c")), ["rank1", "rank2"], "lines-rank")
+        levels.append(written(pairs.join(ranks.df, ["rank1", "rank2"]).select("_r", "seq", "rank"), "lines-level"))
         ranks.drop()
-        kept.append(level)
-        if level.df.isEmpty():
-            break
-        if r == 0:
-            both = F.explode(F.array("pos", "pos2"))
-            found.append(level.df.where("later").select("_d", both.alias("pos"), F.lit(2).alias("run")))
-        found.append(level.df.select("_d", F.lit(None).cast("int").alias("pos"), F.lit(2 * size).alias("run")).distinct())
+    raise RuntimeError(f"runs still repeat after {most_levels} doublings")
+
+
+def longest_runs(levels: list[Written]) -> DataFrame:
+    """(_r, seq, run): the length of the longest run that starts at each place and also starts elsewhere."""
+    top = len(levels) - 2  # the highest level with rows
+    done = levels[0].df.join(levels[1].df, ["_r", "seq"], "left_anti").select("_r", "seq", F.lit(1).cast("long").alias("run"))
+    open_ = None
+    for r in range(top, 0, -1):
+        # intervals that hold a place whose run ends between this level and the next, with all their members
+        ends = levels[r].df.join(levels[r + 1].df.withColumn("_more", F.lit(True)), ["_r", "seq"], "left").drop(levels[r + 1].df["rank"])
+        ends = ends.select("_r", "seq", F.concat(F.lit(f"{r}:"), "rank").alias("g"), F.lit(1 << r).cast("long").alias("n"), F.col("_more").isNull().alias("own"))
+        spread = ends if open_ is None else ends.union(open_.df)
+        step = 1 << (r - 1)
+        nxt = levels[r - 1].df.select("_r", F.col("seq").alias("_at"), F.col("rank").alias("k"))
+        looked = written(spread.withColumn("_at", F.col("seq") + F.col("n")).join(nxt, ["_r", "_at"], "left").select("_r", "seq", "g", "n", "own", "k"), "lines-looked")
+        # a partner in the next lines makes a longer interval, open if a place of its own is in it
+        grown = looked.df.where("k is not null").groupBy("g", "k").agg((F.count("*") > 1).alias("two"), F.max("own").alias("some")).where("two and some").select("g", "k")
+        longer = looked.df.join(grown, ["g", "k"]).select("_r", "seq", F.concat_ws(".", "g", "k").alias("g"), (F.col("n") + step).alias("n"), "own")
+        # those that found none keep the old interval open, and its other members serve them
+        kept = looked.df.join(grown.withColumn("_hit", F.lit(True)), ["g", "k"], "left").select("_r", "seq", "g", "n", (F.col("own") & F.col("_hit").isNull()).alias("own"))
+        needed = kept.where("own").select("g").distinct()
+        new = written(longer.union(kept.join(needed, "g", "left_semi").select("_r", "seq", "g", "n", "own")), "lines-open")
+        looked.drop()
+        if open_ is not None:
+            open_.drop()
+        open_ = new
+    if open_ is not None:
+        done = done.union(open_.df.where("own").select("_r", "seq", F.col("n").alias("run")))
+    return done
+
+
+def repeated_runs(rows: DataFrame, text: str, least_lines: int = 1, most_levels: int = 40) -> DataFrame:
+    """Per row ``_r``: places of the lines to delete, the longest repeated run and the number of maximal ones."""
+    lines = written(_lines(rows, text), "lines-base")
+    place = F.struct("_id", "_t", "_r", "seq")
+    levels = levels_of(lines.df, most_levels)
+    if least_lines == 1:
+        windows = lines.df.withColumn("w", F.col("h"))
     else:
-        raise RuntimeError(f"runs still repeat after {most_levels} doublings")
-    rows = found[0]
-    for other in found[1:]:
-        rows = rows.union(other)
-    out = written(rows.groupBy("_d").agg(F.collect_set("pos").alias("gone"), F.max("run").alias("longest_run")), "lines-gone")
-    for t in kept:
+        r = min(least_lines.bit_length() - 1, len(levels) - 1)
+        ranks = levels[r].df.withColumn("rank2", F.first("rank").over(_ahead(least_lines - (1 << r)))).where("rank2 is not null")
+        windows = lines.df.join(ranks.select("_r", "seq", F.struct("rank", "rank2").alias("w")), ["_r", "seq"])
+    firsts = windows.groupBy("w").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
+    later = windows.join(firsts, "w").where(~F.col("first").eqNullSafe(place))
+    if least_lines > 1:
+        covered = later.select("_r", F.explode(F.sequence("seq", F.col("seq") + F.lit(least_lines - 1))).alias("seq")).distinct()
+        later = covered.join(lines.df.select("_r", "seq", "pos"), ["_r", "seq"])
+    gone = later.groupBy("_r").agg(F.collect_list("pos").alias("gone"))
+    runs = longest_runs(levels)
+    before = F.lag(F.struct("seq", "run")).over(Window.partitionBy("_r").orderBy("seq"))
+    starts = ~F.coalesce((before["seq"] == F.col("seq") - 1) & (before["run"] == F.col("run") + 1), F.lit(False))
+    per_row = runs.withColumn("_new", starts).groupBy("_r").agg(F.max("run").alias("longest_run"), F.sum(F.col("_new").cast("long")).alias("n_runs"))
+    out = written(per_row.join(gone, "_r", "left"), "lines-gone")
+    lines.drop()
+    for t in levels:
         t.drop()
     return out.df
 
 
-def _next_level(pairs: DataFrame, ranks: DataFrame, later) -> DataFrame:
-    return pairs.join(ranks, ["rank", "rank2"]).select("_d", "_id", "seq", "pos", "pos2", F.col("new").alias("rank"), later.alias("later"))
+def dedup(docs: DataFrame, least_lines: int = 1, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
+    """Delete later copies of repeated runs of lines.
 
-
-def dedup(docs: DataFrame, long_words: int = 8, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
-    """Delete later copies of repeated lines and runs of lines.
-
-    With ``digest``: id, n_lines (that aren't blank), n_removed, kept_sha256. Else all columns of ``docs`` with
-    the text shortened (a text that loses nothing stays as it is), and n_removed and longest_run unless such
-    columns exist.
+    With ``digest``: id, n_lines (that aren't blank), n_removed, kept_sha256, longest_run and n_runs (maximal
+    repeated runs). Else all columns of ``docs`` with the text shortened (a text that loses nothing stays as
+    it is), and n_removed, longest_run and n_runs unless such columns exist.
     """
     ready(docs.sparkSession)
     names = [f"c{i}" for i in range(len(docs.columns))]
-    plain = docs.toDF(*names)
     text, ident = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
-    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    plain = plain.withColumn("_d", F.xxhash64(F.col(ident), whole, F.length(whole)))
-    keyed = plain.select("_d", F.col(ident).alias("_id"), whole.alias("_text"))
-    gone = repeated_runs(keyed, "_text", long_words)
+    plain = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
+    if digest:
+        plain = plain.select(*dict.fromkeys((ident, text)))
+    numbered = written(plain.withColumn("_r", F.monotonically_increasing_id()), "lines-rows")
+    plain = numbered.df
+    rows = plain.select("_r", F.col(ident).alias("_id"), F.col(text).alias("_text"))
+    gone = repeated_runs(rows, "_text", least_lines)
     kept = [ident] if digest else [c for c in names if c != text]
+    counts = ["n_lines", "n_removed", "longest_run", "n_runs"]
     schema = StructType([plain.schema[c] for c in kept])
-    schema = schema.add("n_lines", LongType()).add("n_removed", LongType()).add("longest_run", LongType()).add("out", StringType())
+    for c in counts:
+        schema = schema.add(c, LongType())
+    schema = schema.add("out", StringType())
 
     def run(batches):
         at = len(kept)
@@ -119,37 +162,44 @@ def dedup(docs: DataFrame, long_words: int = 8, id_col: str = "doc_id", text_col
                 removed.append(len(away))
                 left = "\n".join([x for i, x in enumerate(parts) if i not in away]) if away else raw
                 out.append(hashlib.sha256((left or "").encode("utf-8", "surrogatepass")).hexdigest() if digest else left)
-            longest = b.column(at + 2).fill_null(0)
+            known = [b.column(at + k).fill_null(0).cast(pa.int64()) for k in (2, 3)]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(at)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), longest.cast(pa.int64()), pa.array(out, pa.string())],
-                [*kept, "n_lines", "n_removed", "longest_run", "out"],
+                [*(b.column(i) for i in range(at)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *known, pa.array(out, pa.string())],
+                [*kept, *counts, "out"],
             )
 
-    done = plain.join(gone, "_d", "left").select(*kept, F.col(text).cast("string"), "gone", "longest_run").mapInArrow(lean(run), schema)
+    done = plain.join(gone, "_r", "left").select(*kept, text, "gone", "longest_run", "n_runs").mapInArrow(lean(run), schema)
     if digest:
-        return done.select(F.col(ident).alias(id_col), "n_lines", "n_removed", F.col("out").alias("kept_sha256"))
+        return done.select(F.col(ident).alias(id_col), "n_lines", "n_removed", F.col("out").alias("kept_sha256"), "longest_run", "n_runs")
     back = [F.col("out" if c == text else c).alias(o) for c, o in zip(names, docs.columns, strict=True)]
-    return done.select(*back, *(c for c in ("n_removed", "longest_run") if c not in docs.columns))
+    return done.select(*back, *(c for c in counts[1:] if c not in docs.columns))
 
 
+#: Deletions, and runs by growing windows one line at a time.
 ORACLE = """
-WITH l AS (
-  SELECT doc_id, i AS pos, trim(x[i]) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents), LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)
+WITH RECURSIVE d AS (
+  SELECT doc_id, text, row_number() OVER (ORDER BY doc_id, md5(coalesce(text, ''))) AS r, string_split(coalesce(text, ''), chr(10)) AS x FROM documents
+), l AS (
+  SELECT r, i AS pos, trim(x[i]) AS line FROM d, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS i)
 ), s AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS seq FROM l WHERE line <> ''
-), p AS (
-  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY seq) AS line2, lead(pos) OVER (PARTITION BY doc_id ORDER BY seq) AS pos2,
-         row_number() OVER (PARTITION BY line ORDER BY doc_id, seq) AS nth FROM s
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY pos) AS seq FROM l WHERE line <> ''
+), g AS (
+  SELECT r, list(pos) AS gone FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY r, seq) AS nth FROM s) WHERE nth > 1 GROUP BY r
+), w AS (
+  SELECT 1 AS n, r, seq, k FROM (SELECT r, seq, dense_rank() OVER (ORDER BY line) AS k, count(*) OVER (PARTITION BY line) AS c FROM s) WHERE c > 1
+  UNION ALL
+  SELECT n, r, seq, k FROM (
+    SELECT a.n + 1 AS n, a.r, a.seq, dense_rank() OVER (ORDER BY a.k, b.k) AS k, count(*) OVER (PARTITION BY a.k, b.k) AS c
+    FROM w a JOIN w b ON a.r = b.r AND a.seq + 1 = b.seq
+  ) WHERE c > 1
+), m AS (
+  SELECT r, seq, max(n) AS run FROM w GROUP BY r, seq
 ), q AS (
-  SELECT *, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, seq) AS nth2 FROM p
-), gone AS (
-  SELECT doc_id, pos FROM q WHERE nth > 1 AND len(line) - len(replace(line, ' ', '')) + 1 >= 8
-  UNION SELECT doc_id, pos FROM q WHERE line2 IS NOT NULL AND nth2 > 1
-  UNION SELECT doc_id, pos2 FROM q WHERE line2 IS NOT NULL AND nth2 > 1
-), r AS (
-  SELECT doc_id, list(pos) AS gone FROM gone GROUP BY doc_id
+  SELECT r, max(a.run) AS longest_run, count(*) FILTER (b.run IS NULL OR b.run <> a.run + 1) AS n_runs
+  FROM (SELECT *, seq - 1 AS before FROM m) a LEFT JOIN (SELECT r AS r2, seq AS seq2, run FROM m) b ON a.r = b.r2 AND a.before = b.seq2 GROUP BY r
 )
-SELECT d.doc_id, len(list_filter(x, lambda v: trim(v) <> ''))::BIGINT AS n_lines, coalesce(len(r.gone), 0)::BIGINT AS n_removed,
-       sha256(array_to_string(list_filter(x, lambda v, i: r.gone IS NULL OR NOT list_contains(r.gone, i)), chr(10))) AS kept_sha256
-FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents) d LEFT JOIN r ON d.doc_id = r.doc_id
+SELECT doc_id, len(list_filter(x, lambda v: trim(v) <> ''))::BIGINT AS n_lines, coalesce(len(g.gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(list_filter(x, lambda v, i: g.gone IS NULL OR NOT list_contains(g.gone, i)), chr(10))) AS kept_sha256,
+       coalesce(longest_run, 0)::BIGINT AS longest_run, coalesce(n_runs, 0)::BIGINT AS n_runs
+FROM d LEFT JOIN g ON d.r = g.r LEFT JOIN q ON d.r = q.r
 """

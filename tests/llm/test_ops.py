@@ -205,34 +205,52 @@ def test_licenses_whatever_the_lines(spark):
 # ---- lines ----
 
 
-def brute_lines(data, long_words=8):
+def brute_lines(data, least=1):
     docs = []
-    for i, t in sorted({(i, t or "") for i, t in data}, key=lambda x: (x[0] is not None, x[0] or 0)):
+    for i, t in sorted(((i, t or "") for i, t in data), key=lambda x: (x[0] is not None, x[0] or 0, hashlib.md5(x[1].encode()).digest())):
         parts = t.split("\n")
-        docs.append((i, t, [(p, x.strip(" ")) for p, x in enumerate(parts) if x.strip(" ")], parts))
-    seen, gone = set(), collections.defaultdict(set)
-    for n in (1, 2):
-        for d, (_, _, ls, _) in enumerate(docs):
-            for k in range(len(ls) - n + 1):
-                key = tuple(x for _, x in ls[k : k + n])
-                if key in seen and (n == 2 or key[0].count(" ") + 1 >= long_words):
-                    gone[d].update(p for p, _ in ls[k : k + n])
-                seen.add(key)
-    out = {}
-    for d, (i, t, ls, parts) in enumerate(docs):
+        docs.append((i, [(p, x.strip(" ")) for p, x in enumerate(parts) if x.strip(" ")], parts))
+    size = max(len(ls) for _, ls, _ in docs)
+    count = collections.Counter(tuple(x for _, x in ls[k : k + n]) for _, ls, _ in docs for n in range(1, size + 1) for k in range(len(ls) - n + 1))
+    seen, out = set(), []
+    gone = collections.defaultdict(set)
+    for d, (_, ls, _) in enumerate(docs):
+        for k in range(len(ls) - least + 1):
+            key = tuple(x for _, x in ls[k : k + least])
+            if key in seen:
+                gone[d].update(p for p, _ in ls[k : k + least])
+            seen.add(key)
+    for d, (i, ls, parts) in enumerate(docs):
+        runs = [max((n for n in range(1, len(ls) - k + 1) if count[tuple(x for _, x in ls[k : k + n])] > 1), default=0) for k in range(len(ls))]
+        starts = sum(r > 0 and (k == 0 or runs[k - 1] != r + 1) for k, r in enumerate(runs))
         left = "\n".join(x for p, x in enumerate(parts) if p not in gone[d])
-        out[i, t] = (i, len(ls), len(gone[d]), hashlib.sha256(left.encode()).hexdigest())
-    return sorted((out[i, t or ""] for i, t in data), key=str)
+        out.append((i, len(ls), len(gone[d]), hashlib.sha256(left.encode()).hexdigest(), max(runs, default=0), starts))
+    return sorted(out, key=str)
 
 
-def test_lines(spark):
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_lines(spark, least):
     rng = random.Random(2)
     pool = ["a", "b c", " d ", "", "one two three four five six seven eight", "e"]
     data = ODD + [(10 + i, "\n".join(rng.choices(pool, k=rng.randint(0, 9)))) for i in range(25)]
-    assert rows(lines.dedup(spark.createDataFrame(data, TEXT), digest=True)) == brute_lines(data)
+    runs = [[f"r{n} {k}" for k in range(n)] for n in range(1, 21)]
+    for i in range(40):
+        parts = [str(rng.random()) for _ in range(rng.randint(0, 4))]
+        for r in rng.sample(runs, 2):
+            at = rng.randint(0, len(parts))
+            parts[at:at] = r[: rng.randint(1, len(r))]
+        data.append((100 + i, "\n".join(parts)))
+    data += data[-3:]
+    assert rows(lines.dedup(spark.createDataFrame(data, TEXT), least, digest=True)) == brute_lines(data, least)
+
+
+def test_lines_of_odd_tables(spark):
     assert rows(lines.dedup(empty(spark), digest=True)) == []
-    clash = spark.createDataFrame([(1, "a\nb", 7), (2, "a\nb", 8)], "doc_id long, text string, n_removed int")
-    assert rows(lines.dedup(clash).select("doc_id", "text", "n_removed")) == [(1, "a\nb", 7), (2, "", 8)]
+    clash = spark.createDataFrame([(1, "a\nb", 7), (2, "a\nb", 8), (3, None, 9)], "doc_id long, text string, n_removed int")
+    assert rows(lines.dedup(clash).select("doc_id", "text", "n_removed")) == [(1, "a\nb", 7), (2, "", 8), (3, None, 9)]
+    long = "\n".join(f"line {i % 50_000}" for i in range(60_000)) + "\n" + "w " * 500_000
+    got = rows(lines.dedup(spark.createDataFrame([(5, long), (4, "line 1")], TEXT), digest=True))
+    assert [(i, n, r, longest) for i, n, r, _, longest, _ in got] == [(4, 1, 0, 1), (5, 60_001, 10_001, 10_000)]
 
 
 # ---- SimHash ----
