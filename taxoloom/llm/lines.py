@@ -42,7 +42,8 @@ def _lines(rows: DataFrame, text: str) -> DataFrame:
     """One row for each line that isn't blank: place among those, place in the text, and MD5."""
     parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
     parts = F.filter(parts, lambda x: x["line"] != "")
-    spread = rows.select("_r", "_id", F.unhex(F.md5(text)).alias("_t"), F.posexplode(parts).alias("seq", "x"))
+    named = rows.select("_r", "_id", F.unhex(F.md5(text)).alias("_t"), parts.alias("_parts"))  # the text itself isn't exploded
+    spread = named.select("_r", "_id", "_t", F.posexplode("_parts").alias("seq", "x"))
     return spread.select("_r", "_id", "_t", "seq", F.col("x.pos").alias("pos"), F.unhex(F.md5("x.line")).alias("h"))
 
 
