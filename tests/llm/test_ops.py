@@ -368,7 +368,7 @@ def brute_windows(data, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size", [35, 6, 2])
+@pytest.mark.parametrize("size", [35, 70, 6, 2])
 def test_substrings(spark, size):
     rng = random.Random(size)
     shared = [[rng.choice("abcdef") + str(rng.randint(0, 9)) for _ in range(rng.choice([size - 1, size, 3 * size]))] for _ in range(6)]
@@ -390,6 +390,18 @@ def test_substrings_empty_and_clashes(spark):
     assert rows(substring.dedup(df)) == [(1, "", 5, 40), (2, "x", 6, 40), (3, None, 7, 0)]
 
 
+def test_substrings_of_a_very_long_text(spark):
+    rng = random.Random(1)
+    w = [str(rng.random()) for _ in range(150_000)]
+    data = [(1, " ".join(w + w[500:600])), (2, " ".join(w[100_000:100_034])), (3, "q" * 2_000_000), (4, " ".join(["same"] * 300_000))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring.dedup(spark.createDataFrame(data, TEXT), digest=True).collect()}
+    assert got == {1: (150_100, 200), 2: (34, 0), 3: (1, 0), 4: (300_000, 300_000)}
+
+
+def test_substring_levels():
+    assert substring.level_lengths(35) == [9, 18] and substring.level_lengths(70) == [9, 18, 35] and substring.level_lengths(2) == [1]
+
+
 # ---- BPE ----
 
 
