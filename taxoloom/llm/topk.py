@@ -15,11 +15,15 @@ can still enter. Each block chooses its test by that threshold:
 
 Products of the survivors are exact integers, and ties go to the smaller id. Queries and candidates meet in
 (query block, candidate block) groups, so memory is bounded by the two block sizes whatever the table; only
-rows that reach the k-th best leave a group.
-
-Vectors that are null or hold null, NaN or infinite components take no part, nor do empty ones. Vectors of
-different lengths are multiplied over their common components. Repeated ids are separate candidates; a query
-leaves out all rows of its own id. The driver only holds one row per block (counts and greatest lengths).
+rows that reach the k-th best leave a group. Most groups are pruned before anything is shuffled: a query goes
+only to blocks whose greatest length lets it reach its k-th best, queries of like reach share a block, and a
+candidate block goes only to query blocks that reach it.
+
+Vectors that are null or hold null, NaN or infinite components take no part, nor do empty ones or null ids.
+Vectors of different lengths are multiplied over their common components. Rows are numbered in a written
+table, so repeated ids and repeated rows are separate queries and candidates: a query leaves out its own row
+only. Only the id and vector columns are read, so other columns can't clash. An empty table, or one without
+queries, gives no rows. The driver only holds one row per bucket of lengths (counts and greatest lengths).
 """
 
 from __future__ import annotations
@@ -101,14 +105,15 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 
 def search_block(qs: pa.Table, cs: pa.Table, k: int) -> pa.Table:
     """Top-k of one candidate block for each query of one query block that has a chance there."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+    names = ["query_row", "query_id", "vec_row", "vec_id", "score"]
+    empty = pa.table({n: pa.array([], pa.int64()) for n in names})
     if not qs.num_rows or not cs.num_rows:
         return empty
-    q_ids, c_ids = qs["id"].to_numpy(), cs["id"].to_numpy()
+    q_ids, c_ids, q_rows, c_rows = qs["id"].to_numpy(), cs["id"].to_numpy(), qs["row"].to_numpy(), cs["row"].to_numpy()
     q, c = _common(_matrix(qs["v"]), _matrix(cs["v"]))
     q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
     floors = qs["floor"].to_pylist()
-    out: list[list] = [[], [], []]
+    out: list[list] = [[] for _ in names]
     for start in range(0, len(q), 256):
         part = slice(start, start + 256)
         alive = [survivors(q[i], q_norm[i], c, c_norm, floors[i] if floors[i] is not None else -math.inf) for i in range(*part.indices(len(q)))]
@@ -117,7 +122,7 @@ def search_block(qs: pa.Table, cs: pa.Table, k: int) -> pa.Table:
         dense = products(q[part], c) if sum(map(len, alive)) * 4 > len(alive) * len(c) else None
         for n, rows in enumerate(alive):
             i = start + n
-            rows = rows[c_ids[rows] != q_ids[i]]
+            rows = rows[c_rows[rows] != q_rows[i]]
             if not len(rows):
                 continue
             s = dense[n, rows] if dense is not None else products(q[i : i + 1], c[rows])[0]
@@ -125,10 +130,10 @@ def search_block(qs: pa.Table, cs: pa.Table, k: int) -> pa.Table:
                 ok = s >= floors[i]
                 rows, s = rows[ok], s[ok]
             top = best(c_ids[rows], s, k)
-            out[0] += [int(q_ids[i])] * len(top)
-            out[1] += c_ids[rows[top]].tolist()
-            out[2] += [int(x) for x in s[top]]
-    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(empty.column_names, out, strict=True)})
+            found = ([int(q_rows[i])] * len(top), [int(q_ids[i])] * len(top), c_rows[rows[top]].tolist(), c_ids[rows[top]].tolist(), [int(x) for x in s[top]])
+            for col, x in zip(out, found, strict=True):
+                col += x
+    return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(names, out, strict=True)})
 
 
 def top_k(
@@ -141,9 +146,10 @@ def top_k(
     block_rows: int = 8192,
     query_rows: int = 2048,
 ) -> DataFrame:
-    """For each row for which ``is_query`` (a column on ``id``) holds, its k highest products over all others.
+    """For each row for which ``is_query`` (a column on ``id``) holds, its k highest products over all other rows.
 
-    Components are turned into ``floor(scale * x)`` first. Returns query_id, rank, vec_id, score.
+    Components are turned into ``floor(scale * x)`` first. Returns query_id, rank, vec_id, score; of several
+    query rows of one id each has its own ranks from 1.
     """
     spark = vectors.sparkSession
     ready(spark)
@@ -153,44 +159,53 @@ def top_k(
         F.col(id_col).cast("long").alias("id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double")).alias("v")
     )
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
-    bucket = F.floor(F.log(F.greatest(norm, F.lit(1e-9))) / math.log(RATIO)).cast("int")
-    sized = written(rows.withColumn("norm", norm).withColumn("bucket", bucket), "topk-vectors")
-    stats = {r["bucket"]: (r["n"], r["most"]) for r in sized.df.groupBy("bucket").agg(F.count("*").alias("n"), F.max("norm").alias("most")).collect()}
-    total_queries = sized.df.where(is_query(F.col("id"))).count()
-    if not stats or not total_queries:
+    step = lambda n: F.floor(F.log(F.greatest(n, F.lit(1e-9))) / math.log(RATIO)).cast("int")
+    sized = written(rows.withColumn("norm", norm).withColumn("bucket", step(F.col("norm"))).withColumn("row", F.monotonically_increasing_id()), "topk-vectors")
+    stats = {r["bucket"]: r["n"] for r in sized.df.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
+    queries = sized.df.where(is_query(F.col("id"))).select("row", "id", "v", F.col("norm").alias("q_norm"))
+    if not stats or queries.isEmpty():
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     blocks, first, parts = 0, {}, {}
     for b in sorted(stats, reverse=True):
-        first[b], parts[b] = blocks, -(-stats[b][0] // (block_rows * 3 // 4))
+        first[b], parts[b] = blocks, -(-stats[b] // (block_rows * 3 // 4))
         blocks += parts[b]
-    q_parts = -(-total_queries // query_rows)
     place = F.create_map(*(F.lit(v) for b in stats for v in (b, first[b])))
     spread = F.create_map(*(F.lit(v) for b in stats for v in (b, parts[b])))
-    block = place[F.col("bucket")] + F.pmod(F.xxhash64("id", F.lit("block")), spread[F.col("bucket")].cast("long")).cast("int")
+    block = place[F.col("bucket")] + F.pmod(F.xxhash64("row"), spread[F.col("bucket")].cast("long")).cast("int")
     again = spark.read.schema(sized.df.schema).parquet(sized.path)  # columns of its own, apart from the queries'
-    cands = again.select("id", "v", block.alias("block"))
-    queries = sized.df.where(is_query(F.col("id"))).select("id", "v", F.pmod(F.xxhash64("id", F.lit("query")), F.lit(q_parts)).cast("int").alias("q"))
+    cands = again.select("row", "id", "v", block.alias("block"))
     lead, held = 0, 0
     for b in sorted(stats, reverse=True):  # the longest vectors, until there are enough of them for k others
-        held += stats[b][0]
+        held += stats[b]
         lead = first[b] + parts[b]
         if held >= 4 * k + 64:
             break
-    every_q = F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1)))
 
-    def meet(qs: DataFrame, low: int, high: int) -> DataFrame:
-        left = qs.withColumn("block", F.explode(F.sequence(F.lit(low), F.lit(high - 1))))
-        right = cands.where((F.col("block") >= low) & (F.col("block") < high)).withColumn("q", every_q)
+    def meet(qs: DataFrame, low: int) -> DataFrame:
+        """Each query with the blocks from ``low`` to below its own ``reach``."""
+        per_reach = F.greatest(F.lit(1), F.ceil(F.count("*") / query_rows)).cast("int")
+        groups = written(qs.groupBy("reach").agg(per_reach.alias("_n")), "topk-reach")  # at most one row a bucket of lengths
+        dealt = qs.join(F.broadcast(groups.df), "reach").withColumn("q", F.pmod(F.xxhash64("row", F.lit("q")), F.col("_n").cast("long")).cast("int"))
+        left = dealt.select("reach", "q", "row", "id", "v", "floor", F.explode(F.sequence(F.lit(low), F.col("reach") - 1)).alias("block"))
+        other = spark.read.schema(groups.df.schema).parquet(groups.path)
+        met = other.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("block", F.explode(F.sequence(F.lit(low), F.col("reach") - 1)))
+        right = cands.where(F.col("block") >= low).join(met.select("reach", "q", "block"), "block")
         run = lambda key, a, b: search_block(a, b, k)
-        return left.groupBy("q", "block").cogroup(right.groupBy("q", "block")).applyInArrow(run, "query_id long, vec_id long, score long")
+        by = ["reach", "q", "block"]
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(run, "query_row long, query_id long, vec_row long, vec_id long, score long")
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id", "vec_row")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    top = written(ranked(meet(queries.withColumn("floor", F.lit(None).cast("long")), 0, lead)), "topk-lead")
+    start = queries.select("row", "id", "v", F.lit(None).cast("long").alias("floor"), F.lit(lead).alias("reach"))
+    top = written(ranked(meet(start, 0)), "topk-lead")
     if lead < blocks:
-        floors = top.df.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("score").alias("floor"))
-        rest = meet(queries.join(floors.dropDuplicates(["id"]), "id", "left"), lead, blocks)
-        result = ranked(top.df.select("query_id", "vec_id", "score").union(rest))
+        floors = top.df.where(F.col("rank") == k).select(F.col("query_row").alias("row"), F.col("score").alias("floor"))
+        # blocks of buckets that hold no length of floor / query length or more are out of reach (one bucket of slack)
+        least = step(F.col("floor") / F.col("q_norm")) - 1
+        steps = F.array(*(F.struct(F.lit(b).alias("b"), F.lit(first[b] + parts[b]).alias("end")) for b in sorted(stats)))
+        reach = F.when((F.col("floor") > 0) & (F.col("q_norm") > 0), F.coalesce(F.array_max(F.transform(F.filter(steps, lambda s: s["b"] >= least), lambda s: s["end"])), F.lit(0))).otherwise(F.lit(blocks))
+        rest = queries.join(floors, "row", "left").withColumn("reach", reach.cast("int")).where(F.col("reach") > lead).select("row", "id", "v", "floor", "reach")
+        result = ranked(top.df.select("query_row", "query_id", "vec_row", "vec_id", "score").union(meet(rest, lead)))
     else:
         result = top.df
     return result.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
