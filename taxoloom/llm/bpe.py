@@ -8,7 +8,14 @@ the last tokens back from the end of the word gives its exact ids.
 
 Words repeat, so each worker keeps the ids of up to 700,000 words (a setting) and starts anew beyond that.
 
-Null texts count as empty and have no tokens; ``decode`` of no tokens is the empty text.
+Normalising and splitting follow the vocabulary file. Texts of plain characters (assigned, in composed form,
+no marks, see ``plain_characters``) take a fast path, on which Python's Unicode tables and the library's agree;
+any other text is normalised and split by the file's own normalizer and pre-tokenizer, whose Unicode version
+may differ from Python's. The words' ids come from the dynamic programme in both cases.
+
+Null texts count as empty and have no tokens; ``decode`` of no tokens is the empty text. Repeated rows are
+encoded each; an empty table gives no rows. A very long text or word is handled whole, by itself. Only the id
+and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -22,6 +29,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from ._pieces import PieceTable, split_words
 from ._run import lean, ready
@@ -39,6 +47,23 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+_PLAIN: list[np.ndarray] = []
+
+
+def plain_characters() -> np.ndarray:
+    """For each code point whether normalising leaves it alone beside any other such one, in every Unicode version since 6."""
+    if not _PLAIN:
+        old = unicodedata.ucd_3_2_0
+        table = np.zeros(0x110000, bool)
+        for i in range(0x20000):
+            c = chr(i)
+            kind = old.category(c)
+            if kind[0] not in "CM" or kind == "Cc":
+                table[i] = unicodedata.category(c) == kind and unicodedata.normalize("NFC", c) == c and not 0x1100 <= i < 0x1200
+        _PLAIN.append(table)
+    return _PLAIN[0]
+
+
 class WordBpe:
     """Encoder of single words for a vocabulary file with merges and word-end symbols."""
 
@@ -46,6 +71,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
+        library = Tokenizer.from_file(path)
+        self.normalizer, self.splitter = library.normalizer, library.pre_tokenizer
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()}
@@ -119,7 +146,10 @@ class WordBpe:
     def word(self, piece: str) -> tuple[list[int], str]:
         """Ids of one word and their decoded text."""
         raw = piece.encode("utf-8", "surrogatepass")
-        text = "".join([self.symbols[b] for b in raw])
+        return self.spelled("".join([self.symbols[b] for b in raw]))
+
+    def spelled(self, text: str) -> tuple[list[int], str]:
+        """As ``word``, for a word spelled in the symbols of its bytes."""
         if self.end:
             text = text[:-1] + chr(ord(text[-1]) + 0x1000)
         last = [-1] * (len(text) + 1)
@@ -141,15 +171,21 @@ class WordBpe:
         return ids, " ".join([self.names[i] for i in ids])
 
     def normal(self, text: str) -> str:
-        """NFC, then lower case letter by letter; white space is dropped later."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return text.lower()
+        """A text of plain characters in lower case, letter by letter; white space is dropped later."""
+        return text.lower() if text.isascii() else text.replace("Σ", "σ").lower()
+
+    def _by_library(self, text: str) -> tuple[np.ndarray, str]:
+        """Ids and decoded text where the file's own normalizer and pre-tokenizer make the words."""
+        got = [self.spelled(w) for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        return np.array([i for ids, _ in got for i in ids], np.int32), " ".join([d for _, d in got])
 
     def encode_batch(self, texts: list[str]) -> tuple[list[np.ndarray], list[str]]:
         """Ids and decoded text of each text."""
         parts, owners, marks = self._segments(texts)
-        codes, offsets = codes_of([self.normal(p) for p in parts])
+        raw, offsets = codes_of(parts)
+        odd = np.concatenate(([0], np.cumsum(~plain_characters()[raw])))[offsets]
+        aside = {k: self._by_library(parts[k]) for k in np.nonzero(np.diff(odd))[0].tolist()}
+        codes, offsets = codes_of(["" if k in aside else self.normal(p) for k, p in enumerate(parts)])
         starts, ends, per_part = split_words(codes, offsets)
         rows = self.table.lookup(codes, starts, ends)
         flat, sizes = gather(self.table.flat, self.table.offsets, rows)
@@ -160,6 +196,9 @@ class WordBpe:
         words: list[list] = [[] for _ in texts]
         for k, i in enumerate(owners):
             ids[i].append(flat[token_at[k] : token_at[k + 1]])
+            if k in aside and len(aside[k][0]):
+                ids[i].append(aside[k][0])
+                words[i].append(aside[k][1])
             if piece_at[k + 1] > piece_at[k]:
                 words[i].append(" ".join([decoded[r] for r in row_list[piece_at[k] : piece_at[k + 1]]]))
             if marks[k] is not None:

@@ -35,9 +35,9 @@ def empty(spark):
 def brute_top(vectors, k):
     good = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in vectors if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, v in good:
+    for row, (i, v) in enumerate(good):
         if i % 5 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for j, w in good if j != i)[:k]
+            scores = sorted((-sum(a * b for a, b in zip(v, w)), j) for other, (j, w) in enumerate(good) if other != row)[:k]
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores)]
     return sorted(out, key=str)
 
@@ -48,6 +48,7 @@ def test_top_k(spark, block, query):
     m = rng.normal(size=(150, 6)) * np.exp(rng.normal(size=(150, 1)))
     m[20:60] = m[19]
     data = [(i, [float(x) for x in v]) for i, v in enumerate(m)] + [(500, None), (505, [float("nan")] * 6), (510, []), (None, [1.0] * 6), (515, [1.0, None])]
+    data += [(0, data[7][1]), (0, data[0][1]), (5, data[5][1]), (3, data[60][1])]  # ids and rows that repeat
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
     assert rows(topk.top_k(df, lambda i: i % 5 == 0, block_rows=block, query_rows=query)) == brute_top(data, 10)
 
@@ -308,7 +309,7 @@ def test_wide_simhash_groups_near_copies(spark):
             w[rng.randrange(300)] = str(rng.random())
         data.append((i, " ".join(w)))
     data += [(100 + i, " ".join(str(rng.random()) for _ in range(200))) for i in range(20)]
-    p = simhash.Pivots(4, tuple(simhash.sampled_segments(4, 48, 16)), finer=tuple(simhash.sampled_segments(4, 64, 32, 8)))
+    p = simhash.Pivots(4, tuple(simhash.sampled_segments(4, 48, 16)))
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(data, TEXT), 5, 4, 44, p).collect()}
     assert all(got[i] == 0 for i in range(20)) and all(got[i] == i for i in range(100, 120))
     assert simhash.near_duplicates(empty(spark)).count() == 0
@@ -414,6 +415,24 @@ def test_bpe_matches_the_library(text):
     assert ids[0].tolist() == want and decoded[0] == tok.decode(want, skip_special_tokens=False)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.characters(exclude_categories=["Cs"]), max_size=30))
+def test_bpe_matches_the_library_on_any_characters(text):
+    test_bpe_matches_the_library.hypothesis.inner_test(text)
+
+
+def test_bpe_matches_the_library_on_marks_and_unassigned_points():
+    import unicodedata
+
+    rng = random.Random(1)
+    marks = [chr(i) for i in range(0x20000) if unicodedata.category(chr(i))[0] == "M"]
+    free = [chr(i) for i in range(0x20000) if unicodedata.category(chr(i)) == "Cn"]
+    texts = ["a" + rng.choice(marks) + rng.choice(marks) + "o " + rng.choice(free) for _ in range(20_000)]
+    ids, decoded = bpe.coder(WORD).encode_batch(texts)
+    want = [e.ids for e in _library().encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in ids] == want and decoded == [_library().decode(x, skip_special_tokens=False) for x in want]
+
+
 _KEPT = []
 
 
