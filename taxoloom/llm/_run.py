@@ -60,11 +60,13 @@ def lean(run, pause: float = 1.0):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of its own only where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir; one of its own only where that is unset in local mode, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="taxoloom-")
         spark.sparkContext.setCheckpointDir(root)
         atexit.register(shutil.rmtree, root, ignore_errors=True)

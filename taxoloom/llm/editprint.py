@@ -11,10 +11,11 @@ allows. So texts of different lengths sample mostly the same steps, and the whol
 without a step, or whose step comes after the text's end, is 0. Likeness is the share of bins that agree, less what chance would give.
 
 ``fingerprints_with_edits`` adds the fingerprint of an edited text and the likeness to the next document;
-``similar_documents`` groups documents by banding of sampled bins and verification of all bins.
+``classes_of`` groups fingerprints by banding of sampled bins and verification of all bins.
 
 Null texts count as empty; an empty text has only zeros, and two of those are alike by 1. Rows of one id are
-taken in the order of their text's hash. An empty table gives no rows.
+taken in the order of their text's hash; repeated rows are a document each. An empty table gives no rows. Long
+texts are walked whole, one after the other. Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from ._components import components
 from ._run import lean, ready, written
 from ._text import mix, strings
-from .simhash import spanning_links
+from .simhash import met_in_blocks, spanning_links
 
 PLACES = 128
 PERIOD = 4096
@@ -255,10 +256,13 @@ def fingerprints_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: s
 
     done = written(dealt.mapInArrow(lean(run), schema), "editprint").df
     edges = done.where("edge > 0").select("id", "text", "fingerprint", "edge", "part")
-    line = Window.orderBy("part", "edge")  # two rows a partition
-    struct = F.struct("text", "fingerprint")
-    turned = edges.withColumn("next", F.lead(struct).over(line)).withColumn("head", F.first(struct).over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tails = turned.where("edge = 2").select("id", "text", "fingerprint", F.coalesce("next", "head").alias("next")).select("id", "text", "fingerprint", F.col("next.text").alias("t2"), F.col("next.fingerprint").alias("f2"))
+    # a row of two numbers a partition, in one window; the texts themselves are joined by partition
+    parts = edges.where("edge = 1").select("part")
+    line = Window.orderBy("part")
+    head = F.first("part").over(line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    following = parts.select("part", F.coalesce(F.lead("part").over(line), head).alias("next"))
+    heads = edges.where("edge = 1").select(F.col("part").alias("next"), F.col("text").alias("t2"), F.col("fingerprint").alias("f2"))
+    tails = edges.where("edge = 2").drop("edge").join(following, "part").join(heads, "next").select("id", "text", "fingerprint", "t2", "f2")
 
     def finish(batches):
         for b in batches:
@@ -283,38 +287,79 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
-def similar_documents(docs: DataFrame, least: float = 0.8, bands: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and class_id (smallest id) of groups linked by likeness of at least ``least``.
+def classes_of(prints: DataFrame, least: float = 0.8, bands: int = 16, bins: int = 6, bucket_limit: int = 8192) -> DataFrame:
+    """fingerprint and class_id (smallest id) of groups linked by likeness of at least ``least``.
 
-    Equal fingerprints are one class. Each band is a run of sampled bins; classes that share a band's bins
-    meet in a bucket, and pairs there are verified on all bins. At a likeness of 0.8 a pair meets in one of
-    16 bands of 8 bins with probability 0.95, at 0.9 with 0.9999.
+    ``prints`` has columns id and fingerprint. Equal fingerprints are one class. Each band is a random sample of
+    bins; classes that agree in a band's bins meet in a bucket, and pairs there are verified on all bins. At a
+    likeness of 0.8 a pair meets in one of 16 bands of 6 bins with probability 0.995, at 0.9 with 0.999999;
+    unrelated texts meet once in 700,000 times. A bucket of more than ``bucket_limit`` classes is dealt into
+    blocks that meet two by two, so every pair of it is still looked at. Fingerprints without a bin (of empty
+    texts) are one class.
     """
-    prints = written(fingerprints(docs, id_col, text_col).toDF("id", "fp"), "editprint-prints")
-    classes = written(prints.df.groupBy("fp").agg(F.min("id").alias("first")), "editprint-classes")
-    size = PLACES // bands
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(k), F.substring("fp", 1 + k * size, size)) for k in range(bands))))
+    classes = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first")), "editprint-classes")
+    rng = np.random.default_rng(31)
+    picks = [rng.choice(PLACES, bins, replace=False) for _ in range(bands)]
+
+    def keyed(batches):
+        for b in batches:
+            rows = as_rows(b.column(0).to_pylist())
+            packed = pa.array(_packed(rows), pa.binary())
+            for k, pick in enumerate(picks):
+                key = np.full(len(rows), k + 1, np.uint64)
+                for place in pick.tolist():
+                    key = mix(key * np.uint64(31) + rows[:, place].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), packed], ["key", "fp"])
 
     def paired(batches):
-        keys_, prints_ = np.zeros(0, np.int64), []
+        keys, prints_ = np.zeros(0, np.int64), []
 
         def out(k, f):
-            rows = as_rows(f)
+            rows = _unpacked(f)
             u, v = spanning_links(k, lambda a, b: likeness(rows[a], rows[b]) >= least)
-            return pa.RecordBatch.from_arrays([pa.array([f[i] for i in u], pa.string()), pa.array([f[i] for i in v], pa.string())], ["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for i in u], pa.binary()), pa.array([f[i] for i in v], pa.binary())], ["a", "b"])
 
         for b in batches:
-            keys_ = np.concatenate((keys_, b.column(0).to_numpy()))
+            keys = np.concatenate((keys, b.column(0).to_numpy()))
             prints_ += b.column(1).to_pylist()
-            done = int(np.searchsorted(keys_, keys_[-1])) if len(keys_) else 0
+            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if done:
-                yield out(keys_[:done], prints_[:done])
-                keys_, prints_ = keys_[done:], prints_[done:]
-        if len(keys_):
-            yield out(keys_, prints_)
-
-    links = classes.df.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a string, b string")
+                yield out(keys[:done], prints_[:done])
+                keys, prints_ = keys[done:], prints_[done:]
+        if len(keys):
+            yield out(keys, prints_)
+
+    rows = classes.df.select("fingerprint").mapInArrow(lean(keyed), "key long, fp binary")
+    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
+    dealt = rows.join(hot, "key", "left_anti").union(met_in_blocks(rows.join(hot, "key"), "fp", F.ceil(2 * F.col("count") / bucket_limit)))
+    links = dealt.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary")
     tree = components(links, "editprint-links")
-    rooted = classes.df.join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    fp = F.unhex("fingerprint")
+    rooted = classes.df.withColumn("fp", fp).join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
-    return prints.df.join(rooted.select("fp", "root"), "fp").join(named, "root").select(F.col("id").alias(id_col), "class_id")
+    return rooted.select("fingerprint", "root").join(named, "root").select("fingerprint", "class_id")
+
+
+def _packed(rows: np.ndarray) -> list[bytes]:
+    """Two bins a byte, as the hexadecimal string reads."""
+    raw, n = (rows[:, ::2] << 4 | rows[:, 1::2]).astype(np.uint8).tobytes(), rows.shape[1] // 2
+    return [raw[i : i + n] for i in range(0, len(raw), n)] if n else []
+
+
+def _unpacked(prints: list[bytes]) -> np.ndarray:
+    raw = np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+    out = np.empty((len(prints), 2 * raw.shape[1]), np.uint8)
+    out[:, ::2], out[:, 1::2] = raw >> 4, raw & 15
+    return out
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, bands: int = 16, bins: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and class_id of every document; see ``classes_of``."""
+    prints = written(fingerprints(docs, id_col, text_col).toDF("id", "fingerprint"), "editprint-prints").df
+    return prints.join(classes_of(prints, least, bands, bins), "fingerprint").select(F.col("id").alias(id_col), "class_id")
+
+
+def with_classes(done: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """Rows with a ``fingerprint``, each with its class: see ``classes_of``."""
+    table = written(done, "editprint-done").df
+    return table.join(classes_of(table.select(F.col(id_col).alias("id"), "fingerprint"), least), "fingerprint")

@@ -22,7 +22,7 @@ def op1_top_k(spark, sf_dir):
 
 
 def op2_edit_fingerprint(spark, sf_dir):
-    return editprint.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return editprint.with_classes(editprint.fingerprints_with_edits(table(spark, sf_dir, "documents")))
 
 
 def op3_packing(spark, sf_dir):
@@ -97,7 +97,7 @@ def op1_top_k(spark, sf_dir):
 
 
 def op2_edit_fingerprint(spark, sf_dir):
-    return editprint.fingerprints_with_edits(table(spark, sf_dir, "documents"))
+    return editprint.with_classes(editprint.fingerprints_with_edits(table(spark, sf_dir, "documents")))
 
 
 def op3_packing(spark, sf_dir):

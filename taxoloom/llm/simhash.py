@@ -8,7 +8,8 @@ the bits only ("segments"):
 1. Equal fingerprints become one class.
 2. If the segments are ``radius + 1`` disjoint parts that make up all bits, a pair within the radius agrees on
    one whole segment, and so has the same segment distance to every pivot: that vector of distances, hashed,
-   is the bucket key, and no pair is lost. With larger radii (see ``sampled_segments``) the segments are random
+   is the bucket key, and no pair is lost. (Fingerprints agree in all those distances nearly only if they agree
+   on the segment, so this bucketing is by segments; the pivots' own part is step 3.) With larger radii (see ``sampled_segments``) the segments are random
    samples of the bits and a pair is found with a probability given there.
 3. Within a bucket, pairs whose pivot distances differ by more than the radius in any coordinate are
    discarded, and the exact Hamming distance of the survivors is checked. A bucket hands on a spanning forest
@@ -86,8 +87,10 @@ def whole_segments(words: int, radius: int) -> list[int]:
 def sampled_segments(words: int, count: int, size: int, seed: int = 7) -> list[int]:
     """Random masks. Texts that differ in a share d of the bits meet with probability 1-(1-(1-d)^size)^count.
 
-    For 48 masks of 16 bits that is 0.97 at d = 0.15, which is a Jaccard similarity of 0.8, and over 0.999
-    at 0.9.
+    For 160 masks of 20 bits that is 0.998 at d = 0.151, which is a Jaccard similarity of 0.8. Unrelated texts
+    meet once in 2**size times, so the pairs looked at are count * n**2 / 2**(size + 1) for n texts: with 20 bits
+    10**8 pairs for a million texts, 10**10 for ten. For more, choose ``size`` near log2(n) and ``count`` near
+    6 / 0.849**size (30 bits and 820 masks for a thousand million texts); work then grows as n**1.24.
     """
     rng = random.Random(seed)
     return [sum(1 << b for b in rng.sample(range(64 * words), size)) for _ in range(count)]
@@ -100,7 +103,6 @@ class Pivots:
     words: int
     segments: tuple[int, ...]
     count: int = 16
-    finer: tuple[int, ...] = ()  # not used: large buckets keep their keys
 
     def table(self) -> np.ndarray:
         return np.random.default_rng(2024).integers(0, 1 << 64, (self.count, self.words), np.uint64, endpoint=False)
@@ -329,21 +331,26 @@ def keep_one(
     least: float = 0.8,
     bucket_limit: int = 8192,
     block_shingles: int = 1 << 20,
-    at_once: int = 32,
+    at_once: int = 40,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """Of each group of texts linked by shingle sets of Jaccard similarity ``least`` or more, the row of the smallest id.
 
-    Rows are told apart by id and text, so null and repeated ids with unrelated texts stay; a null id counts as
-    the largest, and one row stays of rows equal in both.
+    Rows are told apart by id and text (their MD5), so null and repeated ids with unrelated texts stay; a null id
+    counts as the largest, and one row stays of rows equal in both. Null and empty texts are one group, as are
+    texts without words. An empty table gives no rows; other columns are carried along, whatever their names.
     Texts of equal sets are one class. Fingerprints (of the sets) within ``radius`` that meet in a segment make
     candidates; ``at_once`` segments are searched at a time, which bounds the space of their shuffle. Candidates
     are gathered by component, in blocks of at most about ``block_shingles`` shingles that meet two by two.
     """
     ready(docs.sparkSession)
+
+    def row_key(ident, text):
+        return F.unhex(F.md5(F.concat(F.coalesce(ident.cast("string"), F.lit("null")), F.lit(" "), text)))
+
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    keyed = docs.select(F.xxhash64(docs[id_col], text, F.length(text)).alias("row"), docs[id_col].alias("id"), text.alias("text"))
+    keyed = docs.select(row_key(docs[id_col], text).alias("row"), docs[id_col].alias("id"), text.alias("text"))
 
     def run(batches):
         for b in batches:
@@ -354,7 +361,7 @@ def keep_one(
                 ["row", "id", "cls", "fp", "n"],
             )
 
-    schema = StructType().add("row", LongType()).add("id", docs.schema[id_col].dataType).add("cls", BinaryType()).add("fp", BinaryType()).add("n", LongType())
+    schema = StructType().add("row", BinaryType()).add("id", docs.schema[id_col].dataType).add("cls", BinaryType()).add("fp", BinaryType()).add("n", LongType())
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = written(keyed.mapInArrow(lean(run), schema).groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first), "near-classes").df
     fps = written(classes.where("n > 0").select("fp").distinct(), "near-prints")
@@ -405,5 +412,5 @@ def keep_one(
     plain = docs.toDF(*names)
     own, text = (F.col(names[docs.columns.index(c)]) for c in (id_col, text_col))
     text = F.coalesce(text.cast("string"), F.lit(""))
-    kept = plain.withColumn("_row", F.xxhash64(own, text, F.length(text))).join(chosen, F.col("_row") == F.col("_chosen"), "left_semi")
+    kept = plain.withColumn("_row", row_key(own, text)).join(chosen, F.col("_row") == F.col("_chosen"), "left_semi")
     return kept.dropDuplicates(["_row"]).drop("_row").toDF(*docs.columns)

@@ -6,12 +6,16 @@ probed with every suffix of its host at a label border, joined with every path p
 among the rules, by a binary search over all probes of a batch; a hit counts only if the stored string is
 the probed one, so a digest collision can't decide.
 
-Null urls, or urls without ``://``, have an empty host and path and fit nothing. Rules of equal length
+``blocked`` is any list of hosts; ``read_hosts`` takes one from a text file (one host a line, # comments).
+
+Null urls, or urls without ``://``, have an empty host and path and fit nothing. Very long urls are judged
+whole, repeated rows each, an empty table gives no rows, and only the id and url columns are read. Rules of equal length
 can't both fit unless they are the same string; of repeated rules the last one given counts.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
 import shutil
 import tempfile
@@ -76,6 +80,12 @@ class DigestArray:
         return out
 
 
+def read_hosts(spark, path: str) -> list[str]:
+    """Hosts of a block list in any store that Spark reads; a setting of the driver's size, not a table."""
+    lines = (r.value.split("#", 1)[0].strip() for r in spark.read.text(path).toLocalIterator())
+    return sorted({x for x in lines if x})
+
+
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -142,7 +152,8 @@ def judge_urls(
         raise ValueError("a rule with an empty path can't name a blocked host")
     lengths = sorted({len(path) for _, _, path in rules})
     name = f"urls-{uuid.uuid4().hex}"
-    top = tempfile.mkdtemp()
+    top = tempfile.mkdtemp()  # the driver's own; Spark's file server hands the archive to executors from here
+    atexit.register(shutil.rmtree, top, ignore_errors=True)
     folder = os.path.join(top, name)
     os.mkdir(folder)
     DigestArray.write(folder, entries, lengths)

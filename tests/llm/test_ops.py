@@ -97,6 +97,53 @@ def test_walk_is_the_same_alone_and_in_a_crowd():
     assert near[0] > editprint.likeness(together[50:51], together[49:50])[0]
 
 
+def brute_walk(text):
+    """The rule step by step: one character at a time, the bit of step and character moves on, sampled steps are noted."""
+    symbols = [ord(c) % 255 + 1 for c in text] + [0]
+    limit = editprint.steps_for(len(text))
+    out, best, at = [0] * editprint.PLACES, {}, 0
+    for t in range(limit):
+        h = int(editprint.mix(np.array([t + 977], np.uint64))[0])
+        place, priority = h % editprint.PLACES, int(editprint.mix(np.array([h], np.uint64))[0])
+        if priority <= best.get(place, 1 << 64):
+            best[place] = priority
+            out[place] = int(editprint.mix(np.array([symbols[at] + t * 0x100000001B3], np.uint64))[0]) % 15 + 1 if symbols[at] else 0
+        at += int(editprint.rule()[t % editprint.PERIOD, symbols[at]])
+    return out
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab c", "Lorem ipsum dolor sit amet. " * 20, "é日\U0001f600" * 50])
+def test_walk_is_the_plain_walk(text):
+    assert editprint.walk([text])[0].tolist() == brute_walk(text)
+
+
+def test_classes_lose_no_pair_that_meets(spark):
+    rng = random.Random(4)
+    base = ["".join(rng.choices("abcdefgh ", k=600)) for _ in range(6)]
+    texts = list(base)
+    for i in range(40):
+        t = list(rng.choice(base))
+        for _ in range(rng.randint(1, 12)):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        texts.append("".join(t))
+    prints = sorted(set(editprint.as_strings(editprint.walk(texts))))
+    m = editprint.as_rows(prints)
+    u, v = np.triu_indices(len(prints), 1)
+    ok = editprint.likeness(m[u], m[v]) >= 0.85
+    want = simhash.forest(u[ok], v[ok], len(prints))
+    table = spark.createDataFrame([(n, p) for n, p in enumerate(prints)], "id long, fingerprint string")
+    for limit in (8192, 1):
+        got = dict(rows(editprint.classes_of(table, 0.85, bucket_limit=limit)))
+        assert [got[p] for p in prints] == want.tolist() and 6 <= len(set(want.tolist())) < len(prints)
+
+
+def test_fingerprints_of_very_long_texts_and_repeated_rows(spark):
+    long = "some words here. " * 120_000
+    data = [(1, long), (1, long), (2, long[:-5]), (3, None), (3, None)]
+    got = editprint.with_classes(editprint.fingerprints_with_edits(spark.createDataFrame(data, TEXT), partitions=3)).collect()
+    assert sorted((r.doc_id, r.n_chars, r.class_id) for r in got) == [(1, len(long), 1), (1, len(long), 1), (2, len(long) - 5, 1), (3, 0, 3), (3, 0, 3)]
+
+
 def test_similar_documents(spark):
     base = "".join(random.Random(3).choices("abcdefgh ", k=800))
     data = [(7, base), (5, base), (9, base[:790] + "x" * 10), (1, "".join(random.Random(9).choices("rstuvwxyz ", k=800)))]
