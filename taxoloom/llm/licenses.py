@@ -1,15 +1,21 @@
-"""License scans: stretches of lines compared with licence templates by the Dice coefficient of word bigrams.
+"""License scans: runs of words compared with licence templates by the Dice coefficient of word bigrams.
 
 Text is normalised (lower case; every run of characters other than letters, digits, dots and plus signs is
-one blank; dots at word ends go). A stretch is any run of words, whatever lines it stands on; with ``most_lines``
-it is one line or up to so many whole lines in a row. With A and B
-the bigram counts of stretch and template, Dice = 2 |A and B| / (|A| + |B|), with multiplicity. At a
-threshold t it can only be reached if |A| lies between t/(2-t) |B| and (2-t)/t |B|, so templates outside that
-bound are passed over, and so are lines that hold none of a template's anchor words: words without whose
-bigrams the threshold is out of reach. Both prunings are exact.
-
-Null and empty texts match nothing. Equal scores go to the first template by name. Repeated rows are scanned
-each; whole texts of any length are scanned.
+one blank; dots at word ends go). With A and B the bigram counts of a run of words and a template, Dice is
+2 |A and B| / (|A| + |B|), with multiplicity. At a threshold t it can only be reached if |A| lies between
+t/(2-t) |B| and (2-t)/t |B|, which bounds the size of runs. Three prunings, all exact, leave few of them:
+
+* a template whose anchor words (words without whose bigrams the threshold is out of reach) aren't in the text
+  is passed over;
+* a best run begins and ends with a bigram of the template, or dropping it would raise the score;
+* between its ends must lie so many bigrams of the template that the threshold can be reached at all.
+
+Runs may start and end anywhere, whatever lines they stand on. Of overlapping matches the one of highest Dice
+times matching bigrams stays, then the shorter, then the earlier, then the first template by name. So a notice
+inside of a full licence text gives way to the full text.
+
+Null and empty texts match nothing. Repeated rows are scanned each; whole texts of any length are scanned. An
+empty table gives no rows. Only the id and text columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -17,28 +23,15 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from ._run import lean, ready
 from ._text import strings
+from .license_texts import TEMPLATES
 
-#: Notices by SPDX name (fixed values); one name may have several.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."),
-    ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction"),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-)
 _GAP = re.compile(r"[^\w.+]+|\.(?![^\W_])|_+")
 
 
@@ -56,8 +49,8 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Scanner:
-    def __init__(self, templates=TEMPLATES, threshold: float = 0.8, most_lines: int | None = 8):
-        self.threshold, self.most_lines = threshold, most_lines
+    def __init__(self, templates=TEMPLATES, threshold: float = 0.8):
+        self.threshold = threshold
         self.templates = []
         everywhere: Counter = Counter(x for _, t in templates for x in set(words(t)))
         anchors: set[str] = set()
@@ -72,88 +65,63 @@ class Scanner:
                     break
                 own.append(x)
             anchors |= set(own)
-            self.templates.append((name, b, n * threshold / (2 - threshold), n * (2 - threshold) / threshold))
-        self.longest = max((t[3] for t in self.templates), default=0)
+            low, high = n * threshold / (2 - threshold), n * (2 - threshold) / threshold
+            self.templates.append((name, b, n, low, high, set(own)))
         self.anchor = re.compile("|".join(map(re.escape, sorted(anchors, key=len, reverse=True)))) if anchors else None
 
-    def windows(self, text: str) -> list[tuple[str, int, int, float]]:
-        """As ``scan``, over all runs of words inside a template's size bounds."""
-        if self.anchor is None or not self.anchor.search(text.lower()):
+    def scan(self, text: str) -> list[tuple[str, int, int, float]]:
+        """Best template of each matching run of words: name, first line, number of lines, Dice."""
+        lowered = text.lower()
+        if self.anchor is None or not self.anchor.search(lowered):
             return []
         w, line = [], []
         for i, x in enumerate(text.split("\n")):
             got = words(x)
             w += got
             line += [i] * len(got)
-        pairs = list(zip(w, w[1:], strict=False))
+        there = set(w)
+        templates = [t for t in self.templates if not t[5].isdisjoint(there)]
+        if not templates:
+            return []
+        places: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(zip(w, w[1:], strict=False)):
+            places.setdefault(pair, []).append(i)
         found = []
-        for name, b, low, high in self.templates:
-            # a best window begins and ends with a bigram of the template, or dropping it would raise the score
-            hits = [i for i, x in enumerate(pairs) if x in b]
-            total = sum(b.values())
-            for k, first in enumerate(hits):
+        for name, b, n, low, high, _ in templates:
+            spots = sorted(i for pair in b for i in places.get(pair, ()))
+            need = int(np.ceil(self.threshold * (low + n) / 2 - 1e-9))  # matches that the smallest run needs
+            if len(spots) < need:
+                continue
+            at = np.array(spots)
+            near = np.nonzero(at[need - 1 :] - at[: len(at) - need + 1] < high)[0]
+            for k in near.tolist():
+                first = spots[k]
                 seen: Counter = Counter()
                 both = 0
-                for last in hits[k:]:
+                for last in spots[k:]:
                     size = last - first + 1
                     if size > high:
                         break
-                    x = pairs[last]
+                    x = w[last], w[last + 1]
                     seen[x] += 1
                     both += seen[x] <= b[x]
-                    d = 2 * both / (size + total)
+                    d = 2 * both / (size + n)
                     if size >= low and d >= self.threshold:
-                        found.append((-d, size, first, name))
+                        found.append((-d * both, size, first, name, d))
         out, used = [], set()
-        for d, size, first, name in sorted(found):
+        for _, size, first, name, d in sorted(found):
             span = range(first, first + size + 1)
             if used.isdisjoint(span):
                 used.update(span)
-                out.append((first, (name, line[first], line[first + size] - line[first] + 1, -d)))
+                out.append((first, (name, line[first], line[first + size] - line[first] + 1, d)))
         return [x for _, x in sorted(out)]
 
-    def scan(self, text: str) -> list[tuple[str, int, int, float]]:
-        """Best template of each matching stretch: name, first line, number of lines, Dice."""
-        if self.most_lines is None:
-            return self.windows(text)
-        if self.anchor is None or not self.anchor.search(text.lower()):
-            return []
-        lines = text.split("\n")
-        split: dict[int, list[str]] = {}
-        marked = [i for i, x in enumerate(lines) if self.anchor.search(x.lower())]
-        found: dict[tuple[int, int], tuple[float, str]] = {}
-        for first in sorted({i - k for i in marked for k in range(self.most_lines) if i >= k}):
-            stretch: list[str] = []
-            for last in range(first, min(len(lines), first + self.most_lines)):
-                if last not in split:
-                    split[last] = words(lines[last])
-                stretch = stretch + split[last]
-                size = len(stretch) - 1
-                if size > self.longest:
-                    break
-                if size < 1:
-                    continue
-                a = None
-                for name, b, low, high in self.templates:
-                    if low <= size <= high:
-                        a = bigrams(stretch) if a is None else a
-                        d = dice(a, b)
-                        if d >= self.threshold and d > found.get((first, last), (0.0, ""))[0]:
-                            found[first, last] = d, name
-        out, used = [], set()
-        for (first, last), (d, name) in sorted(found.items(), key=lambda x: (-x[1][0], x[0][1] - x[0][0], x[0])):
-            span = range(first, last + 1)
-            if not used & set(span):
-                used |= set(span)
-                out.append((name, first, last - first + 1, d))
-        return sorted(out, key=lambda x: x[1])
-
 
-def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, most_lines: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, license (of the best stretch, else null), dice, n_hits and hits of every whole text.
+def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, license (of the best run, else null), dice, n_hits and hits of every whole text.
 
-    ``hits`` lists name, first line, number of lines and Dice of stretches that don't overlap, best first
-    chosen.
+    ``hits`` lists name, first line, number of lines and Dice of runs that don't overlap, best first chosen.
+    Of equal Dice the earliest run gives ``license``.
     """
     ready(docs.sparkSession)
     hit = StructType().add("name", StringType()).add("line", IntegerType()).add("lines", IntegerType()).add("dice", DoubleType())
@@ -161,7 +129,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = 0.8, most_line
     schema = StructType().add("id", docs.schema[id_col].dataType).add("license", StringType()).add("dice", DoubleType()).add("n_hits", IntegerType()).add("hits", ArrayType(hit))
 
     def run(batches):
-        scanner = Scanner(templates, threshold, most_lines)
+        scanner = Scanner(templates, threshold)
         for b in batches:
             got = [scanner.scan(t) for t in strings(b.column(1))]
             best = [max(g, key=lambda x: (x[3], -x[1]), default=None) for g in got]
