@@ -5,11 +5,17 @@ for letters into Latin letters, and every other character into a blank. Lexicon
 beginnings of words; an entry inside an exception phrase doesn't count. A text's measure is the summed weight
 of its matches and that sum per hundred words; a logistic function of both gives the score.
 
-``learn`` finds the lexicon from labelled documents. Labels are the only thing gathered on the driver's side
-of the model: at most ``max_docs`` labelled rows (by hash of the id, so the same at any partitioning). Near
-copies share a min-hash of their word triples and count as one, so a document's rare words aren't mistaken
-for evidence because it was copied. Word and word-beginning counts are summed by a distributed aggregation;
-at most ``max_entries`` of the strongest come to the driver.
+``learn`` finds the lexicon and the exceptions from labelled documents. Labels are the only thing gathered on
+the driver's side of the model: at most ``max_docs`` labelled rows (by hash of the id, so the same at any
+partitioning). Near copies share four min-hashes of their word triples and count as one, so a document's rare
+words aren't mistaken for evidence because it was copied. Word and word-beginning counts are summed by a
+distributed aggregation. An entry must hold in both halves of the documents by itself, so what one half suggests
+is tried on the other. Phrases of a lexicon word and the word beside it that several clean documents and no toxic
+one have are exceptions.
+
+Null and empty texts have no match and the lowest score. Texts are scored whole, whatever their length, repeated
+rows each; texts without a match tie. Empty tables give no rows, and no labels an empty lexicon. Other columns
+of any name are left out or carried along unread.
 """
 
 from __future__ import annotations
@@ -25,18 +31,18 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from ._run import lean, ready, written
-from ._text import strings
+from ._text import mix, strings
 
 #: Letters that look like Latin ones (fixed values), then digits and signs used for letters.
 HOMOGLYPHS = {
     "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "і": "i", "ј": "j", "ѕ": "s", "һ": "h", "к": "k", "м": "m", "т": "t", "в": "b", "н": "h",
+    "ԁ": "d", "ո": "n", "ѵ": "v", "ԝ": "w", "ѡ": "w", "ʏ": "y", "ɡ": "g", "ӏ": "l", "ⅼ": "l", "ƅ": "b", "ᴄ": "c", "ᴏ": "o", "ᴜ": "u", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ꜱ": "s", "ս": "u", "օ": "o", "ց": "g", "հ": "h",
     "α": "a", "ο": "o", "ρ": "p", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "τ": "t", "υ": "u", "χ": "x", "ı": "i",
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-#: Phrases in which a lexicon word is harmless (fixed values).
-EXCEPTIONS = ("clown fish", "trash can", "trash bin", "idiot proof", "sore loser", "pond scum")
 PREFIXES = range(3, 9)
 _SIGN = re.compile(r"[@$](?![^\W_])|(?<![^\W_])[$]")
 
@@ -70,7 +76,7 @@ class Model:
 
     entries: dict[str, float]
     coefficients: tuple[float, float, float] = (-4.0, 2.0, 0.5)
-    exceptions: tuple[str, ...] = EXCEPTIONS
+    exceptions: tuple[str, ...] = ()
     threshold: float = 0.7
     _automaton: object = field(default=None, repr=False, compare=False)
 
@@ -109,6 +115,24 @@ class Model:
                 del best[at]
         return sum(best.values()), len(best), words
 
+    def phrases(self, folded: str) -> set[str]:
+        """Pairs of a matching word and the word before or after it, in a folded text."""
+        text, a, out = f" {' '.join(folded.split())} ", self.automaton(), set()
+        if not len(a):
+            return out
+        for stop, (size, weight) in a.iter(text):
+            start = stop - size + 1  # a blank
+            if weight is None:
+                continue
+            end = text.index(" ", start + 1)
+            after = text.find(" ", end + 1)
+            before = text.rfind(" ", 0, start)
+            if after > 0:
+                out.add(text[start + 1 : after])
+            if before >= 0:
+                out.add(text[before + 1 : end])
+        return out
+
     def score(self, text: str) -> tuple[float, int]:
         total, hits, words = self.measure(text)
         a, b, c = self.coefficients
@@ -125,10 +149,19 @@ def _features(folded: str) -> set[str]:
     return found
 
 
-def _group(folded: str) -> int:
-    """Min-hash of the word triples; near copies mostly share it."""
+_SEEDS = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
+
+
+def _group(folded: str) -> bytes:
+    """Four min-hashes of the word triples; near copies mostly share them."""
     w = folded.split()
-    return min((xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))), default=0) >> 1
+    h = np.array([xxhash.xxh64_intdigest(" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
+    return mix(h[None] ^ _SEEDS[:, None]).min(1).tobytes()
+
+
+def holds(p: int, n: int, p_first: int, n_first: int) -> bool:
+    """Whether an entry's counts (all, and in the first half of the documents) speak for it in both halves."""
+    return all(a > 2 * b for a, b in ((p_first, n_first), (p - p_first, n - n_first)))
 
 
 def select_entries(counts: list[tuple[str, int, int]], positives: int, negatives: int, least: int) -> dict[str, float]:
@@ -183,12 +216,12 @@ def learn(
     id_col: str = "doc_id",
     text_col: str = "text",
     max_docs: int = 20_000,
-    max_entries: int = 20_000,
-    exceptions: tuple[str, ...] = EXCEPTIONS,
+    exceptions: tuple[str, ...] = (),
 ) -> Model:
     """Lexicon and score function from labelled documents; only labels 0 and 1 count, nulls don't.
 
     ``labels`` is what the caller lets the model see; of several labels of one id the highest counts.
+    ``exceptions`` are phrases to spare besides those that are found.
     """
     spark = docs.sparkSession
     ready(spark)
@@ -199,17 +232,18 @@ def learn(
     def folded(batches):
         for b in batches:
             texts = [fold(t) for t in strings(b.column(1))]
-            yield pa.RecordBatch.from_arrays([pa.array(map(_group, texts), pa.int64()), b.column(2), pa.array(texts, pa.string())], ["g", "y", "t"])
+            yield pa.RecordBatch.from_arrays([pa.array(map(_group, texts), pa.binary()), b.column(2), pa.array(texts, pa.string())], ["g", "y", "t"])
 
-    firsts = sample.mapInArrow(lean(folded), "g long, y int, t string").groupBy("g", "y").agg(F.min("t").alias("t"))
+    firsts = sample.mapInArrow(lean(folded), "g binary, y int, t string").groupBy("g", "y").agg(F.min("t").alias("t"))
     base = written(firsts, "toxicity-sample")
 
     def count(batches):
         seen: dict[str, list[int]] = {}
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                half = 2 * (xxhash.xxh64_intdigest(t) & 1)
                 for f in _features(t):
-                    seen.setdefault(f, [0, 0])[y] += 1
+                    seen.setdefault(f, [0, 0, 0, 0])[y + half] += 1
             if len(seen) > 300_000:
                 yield _counts(seen)
                 seen = {}
@@ -218,10 +252,21 @@ def learn(
     sizes = {r["y"]: r["n"] for r in base.df.groupBy("y").agg(F.count("*").alias("n")).collect()}
     positives, negatives = sizes.get(1, 0), sizes.get(0, 0)
     least = max(3, positives // 200)
-    summed = base.df.select("t", "y").mapInArrow(lean(count), "f string, p long, n long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
-    top = summed.where((F.col("p") >= least) & (F.col("p") >= 4 * F.col("n"))).orderBy(F.desc("p"), "f").limit(max_entries)
-    entries = select_entries([tuple(r) for r in top.collect()], positives, negatives, least)
-    model = Model(entries, exceptions=exceptions)
+    sums = [F.sum(c).alias(c) for c in ("p", "n", "p1", "n1")]
+    summed = base.df.select("t", "y").mapInArrow(lean(count), "f string, p long, n long, p1 long, n1 long").groupBy("f").agg(*sums)
+    # of a bounded sample, so bounded as well
+    strong = summed.where((F.col("p") >= least) & (F.col("p") >= 4 * F.col("n"))).collect()
+    strong = [(r.f, r.p, r.n) for r in strong if holds(r.p, r.n, r.p1, r.n1)]
+    model = Model(select_entries(sorted(strong), positives, negatives, least))
+
+    def phrases(batches):
+        for b in batches:
+            found = [(f, y) for t, y in zip(strings(b.column(0)), b.column(1).to_pylist(), strict=True) for f in model.phrases(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32())], ["f", "y"])
+
+    beside = base.df.select("t", "y").mapInArrow(lean(phrases), "f string, y int").groupBy("f").agg(F.sum("y").alias("p"), F.count("*").alias("c"))
+    spared = sorted(r.f for r in beside.where("p = 0 and c >= 3").collect())
+    model = Model(model.entries, exceptions=(*exceptions, *spared))
 
     def measured(batches):
         for b in batches:
@@ -237,9 +282,10 @@ def learn(
 
 
 def _counts(seen: dict[str, list[int]]) -> pa.RecordBatch:
+    v = np.array(list(seen.values()), np.int64).reshape(-1, 4)
     return pa.RecordBatch.from_arrays(
-        [pa.array(list(seen), pa.string()), pa.array([v[1] for v in seen.values()], pa.int64()), pa.array([v[0] for v in seen.values()], pa.int64())],
-        ["f", "p", "n"],
+        [pa.array(list(seen), pa.string()), pa.array(v[:, 1] + v[:, 3]), pa.array(v[:, 0] + v[:, 2]), pa.array(v[:, 3]), pa.array(v[:, 2])],
+        ["f", "p", "n", "p1", "n1"],
     )
 
 
@@ -264,7 +310,13 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 names,
             )
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
     schema = StructType([docs.schema[c] for c in kept]).add(names[-3], DoubleType()).add(names[-2], IntegerType()).add(names[-1], IntegerType())
     return docs.select(*(docs[c] for c in kept), docs[text_col].alias("_whole_text")).mapInArrow(lean(run), schema)
+
+
+def keep_clean(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the model doesn't reject, with their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    ident, text = (names[docs.columns.index(c)] for c in (id_col, text_col))
+    judged = score(docs.toDF(*names), model, ident, text, keep=True)
+    return judged.where("tox_predicted = 0").select(*names).toDF(*docs.columns)

@@ -223,23 +223,52 @@ def test_licenses(spark):
     assert licenses.scan(spark.createDataFrame(ODD, TEXT)).where("n_hits > 0").count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.lists(st.lists(st.sampled_from("released under the mit license licensed cc by nc 4.0 apache version 2.0 foo".split()), max_size=9), max_size=5))
+def brute_licenses(text, templates, threshold=0.8):
+    """All runs of words against all templates, then the best that don't overlap."""
+    w = licenses.words(text)
+    found = []
+    for a in range(len(w)):
+        for b in range(a + 2, len(w) + 1):
+            for name, t in templates:
+                grams = licenses.bigrams(licenses.words(t))
+                d = licenses.dice(licenses.bigrams(w[a:b]), grams)
+                if d >= threshold:
+                    found.append((-d * sum((licenses.bigrams(w[a:b]) & grams).values()), b - a - 1, a, name, d))
+    out, used = [], set()
+    for _, size, first, name, d in sorted(found):
+        if used.isdisjoint(range(first, first + size + 1)):
+            used.update(range(first, first + size + 1))
+            out.append((first, name, d))
+    return [(name, d) for _, name, d in sorted(out)]
+
+
+SHORT = [t for t in licenses.TEMPLATES if len(t[1]) < 80]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("released under the mit license licensed cc by nc 4.0 apache version 2.0 foo".split()), max_size=9), max_size=4))
 def test_license_pruning_loses_nothing(parts):
     text = "\n".join(" ".join(p) for p in parts)
-    scanner = licenses.Scanner()
-    found = {n for n, *_ in scanner.scan(text)}
-    lines_ = text.split("\n")
-    best = 0.0
-    for a in range(len(lines_)):
-        for b in range(a + 1, min(len(lines_), a + scanner.most_lines) + 1):
-            grams = licenses.bigrams([w for x in lines_[a:b] for w in licenses.words(x)])
-            best = max([best, *(licenses.dice(grams, licenses.bigrams(licenses.words(t))) for _, t in licenses.TEMPLATES)])
-    assert bool(found) == (best >= scanner.threshold)
+    assert [(n, pytest.approx(d)) for n, _, _, d in licenses.Scanner(SHORT).scan(text)] == brute_licenses(text, SHORT)
+
+
+def test_every_license_text_is_found_as_itself(spark):
+    rng = random.Random(3)
+    noise = lambda: " ".join(f"w{rng.randint(0, 999)}" for _ in range(60))
+    data = [(i, f"{noise()}\n/* {t} */\n{noise()}") for i, (_, t) in enumerate(licenses.TEMPLATES)] + [(900, None), (901, None), (902, "w " * 1_000_000 + licenses.TEMPLATES[2][1])]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(data, TEXT)).collect()}
+    for i, (name, _) in enumerate(licenses.TEMPLATES):
+        assert (got[i].license, got[i].dice, got[i].n_hits) == (name, 1.0, 1), name
+    assert got[902].license == "Apache-2.0" and got[900].license is None and licenses.scan(empty(spark)).count() == 0
+
+
+def test_ties_go_to_the_first_template_by_name():
+    scanner = licenses.Scanner([("B", "alpha beta gamma"), ("A", "alpha beta gamma")])
+    assert [x[0] for x in scanner.scan("alpha beta gamma; alpha beta gamma")] == ["A", "A"]
 
 
 def test_licenses_whatever_the_lines(spark):
-    long = licenses.TEMPLATES[8][1].split()
+    long = next(t for n, t in licenses.TEMPLATES if n == "GPL-3.0" and "either version" in t).split()
     data = [
         (1, "This project is released under the MIT License and all rights are reserved."),
         (2, "\n\n".join(" ".join(long[k : k + 3]) for k in range(0, len(long), 3))),
@@ -566,7 +595,7 @@ def test_toxicity_learns_and_folds(spark):
 
 
 def test_toxicity_exceptions_and_no_labels(spark):
-    model = toxicity.Model({" clown ": 5.0}, (-2.0, 2.0, 0.5))
+    model = toxicity.Model({" clown ": 5.0}, (-2.0, 2.0, 0.5), ("clown fish",))
     assert model.measure("a clown fish")[1] == 0 and model.measure("a clown, a fish")[1] == 1
     none = toxicity.learn(empty(spark), spark.createDataFrame([], "doc_id long, toxic int"))
     assert not none.entries and toxicity.score(spark.createDataFrame(ODD, TEXT), none).count() == len(ODD)
@@ -574,6 +603,40 @@ def test_toxicity_exceptions_and_no_labels(spark):
     assert kept.columns == ["doc_id", "text", "score", "tox_score", "tox_hits", "tox_predicted"]
 
 
+def brute_measure(model, text):
+    """Every place of the folded text against every entry; the heaviest entry at a place counts unless a phrase covers its start."""
+    folded = f" {toxicity.fold(text)} "
+    spared = {k + i for p in model.exceptions for k in range(len(folded)) if folded.startswith(f" {p} ", k) for i in range(len(p) + 1)}
+    best = [max((w for e, w in model.entries.items() if folded.startswith(e, k)), default=0.0) for k in range(len(folded)) if k not in spared]
+    return sum(best), sum(b > 0 for b in best), len(folded.split())
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("clown fish cl0wn clówn CLOWNS сlown idi0t idiot proof trash $can can tr@sh . clownish".split(" ")), max_size=12))
+def test_toxicity_matching_is_the_plain_search(parts):
+    model = toxicity.Model({" clown ": 5.0, " clow": 2.0, " idiot": 3.0, " trash ": 1.0}, exceptions=("clown fish", "trash can"))
+    assert model.measure(" ".join(parts)) == pytest.approx(brute_measure(model, " ".join(parts)))
+
+
+def test_toxicity_learns_exceptions_and_keeps_clashing_columns(spark):
+    rng = random.Random(5)
+    data, labels = [], []
+    for i in range(300):
+        w = [f"w{rng.randint(0, 200)}or" for _ in range(40)]
+        kind = i % 6
+        if kind == 0:
+            w[10] = "vilekin"
+        if i % 30 == 1:
+            w[10:12] = ["vilekin", "tree"]
+        data.append((i, " ".join(w), 1))
+        labels.append((i, int(kind == 0)))
+    docs = spark.createDataFrame([*data, (900, "q " * 1_000_000 + "vilekin", 1), (901, None, 1)], "doc_id long, text string, tox_predicted int")
+    model = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert "vilekin tree" in model.exceptions
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.select("doc_id").collect()} >= {1, 31, 900, 901} and kept.where("doc_id % 6 = 0 and doc_id < 300").count() == 0
+
+
 def test_spanning_links_join_what_all_pairs_join():
     rng = np.random.default_rng(1)
     for _ in range(30):
