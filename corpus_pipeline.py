@@ -16,20 +16,20 @@ from taxoloom.llm._run import written
 #: No stage after the first can be checked by SQL: its input depends on a learned model.
 ORACLE_SQL = None
 #: Near duplicates: five-word shingles whose sets have a Jaccard similarity of 0.8 or more. Candidates are found by
-#: 256 bits, of which such a pair differs in 38.7 on average, or 48 if the texts have a handful of shingles, with
-#: deviations of 5.7 and 6.2; a pair at exactly 0.8 is lost with probability 0.0017 (of five shingles, 0.022).
-NEAR_WORDS, NEAR_RADIUS, NEAR_BANDS, NEAR_BITS, NEAR_LEAST = 4, 72, 96, 14, 0.8
+#: 256 bits, of which such a pair differs in 38.7 on average (deviation 5.7), or 48 (6.2) if the texts have a handful
+#: of shingles; a pair at exactly 0.8 is lost with probability 0.002 (of five shingles, 0.1), one at 0.85 with 0.00002.
+NEAR_WORDS, NEAR_RADIUS, NEAR_BANDS, NEAR_BITS, NEAR_LEAST = 4, 60, 160, 20, 0.8
 
 
 def held_out() -> F.Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, learned from the labels outside the held-out third, doesn't reject."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out())
     model = toxicity.learn(docs, labels)
-    return toxicity.score(docs, model, keep=True).where("tox_predicted = 0").select(*docs.columns)
+    return toxicity.keep_clean(docs, model)
 
 
 def _same_columns(docs: DataFrame, changed: DataFrame) -> DataFrame:
