@@ -14,7 +14,7 @@ the bits only ("segments"):
 3. Within a bucket, pairs whose pivot distances differ by more than the radius in any coordinate are
    discarded, and the exact Hamming distance of the survivors is checked. A bucket hands on a spanning forest
    of its links, never all its pairs.
-4. Buckets of more than ``bucket_limit`` classes are not gathered in a task. For a radius of two or less each
+4. Buckets of more than about ``bucket_limit`` classes are not gathered in a task. For a radius of two or less each
    of their members is sent to itself and all fingerprints one bit away: two members meet exactly if they are
    within two bits (a shared point is then within one bit of both), and a minimum for each point links them,
    linearly and exactly. For larger radii a bucket is dealt into blocks of half the limit and every two blocks
@@ -87,10 +87,11 @@ def whole_segments(words: int, radius: int) -> list[int]:
 def sampled_segments(words: int, count: int, size: int, seed: int = 7) -> list[int]:
     """Random masks. Texts that differ in a share d of the bits meet with probability 1-(1-(1-d)^size)^count.
 
-    For 160 masks of 20 bits that is 0.998 at d = 0.151, which is a Jaccard similarity of 0.8. Unrelated texts
+    For 224 masks of 20 bits that is 0.9998 at d = 0.151, the mean for a Jaccard similarity of 0.8; as d varies from
+    pair to pair, 0.99 of such pairs were found when measured. Unrelated texts
     meet once in 2**size times, so the pairs looked at are count * n**2 / 2**(size + 1) for n texts: with 20 bits
     10**8 pairs for a million texts, 10**10 for ten. For more, choose ``size`` near log2(n) and ``count`` near
-    6 / 0.849**size (30 bits and 820 masks for a thousand million texts); work then grows as n**1.24.
+    8 / 0.849**size (30 bits and 1090 masks for a thousand million texts); work then grows as n**1.24.
     """
     rng = random.Random(seed)
     return [sum(1 << b for b in rng.sample(range(64 * words), size)) for _ in range(count)]
@@ -152,10 +153,17 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-def spanning_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (rows) of the pairs of equal key that ``near(u, v)`` (a mask) accepts; keys are sorted."""
+def spanning_links(keys: np.ndarray, near, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (rows) of the pairs of equal key that ``near(u, v)`` (a mask) accepts; keys are sorted.
+
+    Rows of equal label count as joined already: their pairs aren't looked at, and give no links.
+    """
     n = len(keys)
     root = np.arange(n)
+    if labels is not None and n:
+        _, first, group = np.unique(np.stack((keys, labels), 1), axis=0, return_index=True, return_inverse=True)
+        root = first[group.reshape(-1)]
+    own = root == np.arange(n)
     at = np.arange(n)
     us, vs, held = [], [], 0
     step = 0
@@ -175,11 +183,11 @@ def spanning_links(keys: np.ndarray, near) -> tuple[np.ndarray, np.ndarray]:
             vs.append(u[ok] + step)
             held += len(us[-1])
     root = forest(np.concatenate([*us, np.arange(n)]), np.concatenate([*vs, root]), n)
-    child = np.nonzero(root != np.arange(n))[0]
+    child = np.nonzero((root != np.arange(n)) & own)[0]
     return child, root[child]
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int, labels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Spanning links within buckets: discarded by pivot distances first, survivors verified."""
     # unrelated fingerprints lie within some deviations of one distance to any pivot: a wide radius discards none
     table = pivots.distances(fps) if radius <= 2 * (64 * pivots.words) ** 0.5 else np.zeros((len(fps), 0), np.int16)
@@ -194,7 +202,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, pivots: Pivots, radius: int)
         out[left] = np.bitwise_count(fps[u[left]] ^ fps[v[left]]).sum(1) <= radius
         return out
 
-    return spanning_links(keys, near)
+    return spanning_links(keys, near, labels)
 
 
 def fingerprints(docs: DataFrame, size: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,44 +226,62 @@ def met_in_blocks(rows: DataFrame, member: str, blocks: F.Column) -> DataFrame:
 
 
 def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit: int = 8192) -> DataFrame:
-    """Links a, b among distinct fingerprints (column fp) that connect whatever is within the radius."""
+    """Links a, b among distinct fingerprints (column fp) that connect whatever is within the radius.
+
+    Fingerprints of equal ``label`` (a column of longs, if there is one) count as connected already.
+    """
     ready(fps.sparkSession)
     words = pivots.words
+    labelled = ["label"] if "label" in fps.columns else []
+    fps = fps.select("fp", *labelled)
+    schema = ", ".join(["key long", "fp binary", *("label long" for _ in labelled)])
 
     def keyed(masks):
         def run(batches):
             for b in batches:
                 x = _array(b.column(0), words)
                 for j, m in enumerate(masks):
-                    yield pa.RecordBatch.from_arrays([pa.array(pivots.key(x, j, m)), b.column(0)], ["key", "fp"])
+                    yield pa.RecordBatch.from_arrays([pa.array(pivots.key(x, j, m)), *b.columns], ["key", "fp", *labelled])
 
         return run
 
     def paired(batches):
-        keys, x = np.zeros(0, np.int64), np.zeros((0, words), np.uint64)
+        keys, x, labels = np.zeros(0, np.int64), np.zeros((0, words), np.uint64), np.zeros(0, np.int64)
 
-        def out(k, f):
-            a, b = bucket_links(k, f, pivots, radius)
+        def out(n):
+            f = x[:n]
+            a, b = bucket_links(keys[:n], f, pivots, radius, labels[:n] if labelled else None)
             return pa.RecordBatch.from_arrays([pa.array(_bytes(f[a]), pa.binary()), pa.array(_bytes(f[b]), pa.binary())], ["a", "b"])
 
         for b in batches:
             keys = np.concatenate((keys, b.column(0).to_numpy()))
             x = np.concatenate((x, _array(b.column(1), words)))
+            if labelled:
+                labels = np.concatenate((labels, b.column(2).to_numpy()))
             done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if done:
-                yield out(keys[:done], x[:done])
-                keys, x = keys[done:], x[done:]
+                yield out(done)
+                keys, x, labels = keys[done:], x[done:], labels[done:]
         if len(keys):
-            yield out(keys, x)
+            yield out(len(keys))
 
     def links_of(rows: DataFrame) -> DataFrame:
         return rows.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary")
 
-    rows = fps.select("fp").mapInArrow(lean(keyed(pivots.segments)), "key long, fp binary")
-    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
-    cold = links_of(rows.join(hot, "key", "left_anti"))
+    def rows_of(table: DataFrame) -> DataFrame:
+        return table.mapInArrow(lean(keyed(pivots.segments)), schema)
+
+    rows = rows_of(fps)
     if radius > 2:
+        # Which buckets are large is told by one in ``share`` of the fingerprints. A large one that it overlooks is
+        # gathered whole, up to some times the limit; nothing else depends on it.
+        share = max(1, bucket_limit // 128)
+        some = rows_of(fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)).groupBy("key").agg((F.count("*") * share).alias("count"))
+        hot = some.where(F.col("count") > bucket_limit)
+        cold = links_of(rows.join(hot, "key", "left_anti"))
         return cold.union(links_of(met_in_blocks(rows.join(hot, "key"), "fp", F.ceil(2 * F.col("count") / bucket_limit))))
+    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
+    cold = links_of(rows.join(hot, "key", "left_anti"))
 
     def flips(batches):
         one = np.zeros((64 * words, words), np.uint64)
@@ -331,7 +357,8 @@ def keep_one(
     least: float = 0.8,
     bucket_limit: int = 8192,
     block_shingles: int = 1 << 20,
-    at_once: int = 40,
+    first_segments: int = 16,
+    at_once: int = 36,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -365,13 +392,18 @@ def keep_one(
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
     classes = written(keyed.mapInArrow(lean(run), schema).groupBy("cls").agg(F.min("fp").alias("fp"), F.min("n").alias("n"), first), "near-classes").df
     fps = written(classes.where("n > 0").select("fp").distinct(), "near-prints")
-    parts = [tuple(segments[k : k + at_once]) for k in range(0, len(segments), at_once)]
-    met = [written(fingerprint_links(fps.df, Pivots(words, p), radius, bucket_limit), "near-met") for p in parts]
-    links = met[0].df
-    for other in met[1:]:
+    # a few segments join most groups; the others then only look for pairs that aren't joined yet
+    begin = components(fingerprint_links(fps.df, Pivots(words, tuple(segments[:first_segments])), radius, bucket_limit), "near-begin")
+    label = F.xxhash64(F.coalesce("root", "fp")).alias("label")
+    labelled = written(fps.df.join(begin.withColumnRenamed("node", "fp"), "fp", "left").select("fp", label), "near-labelled")
+    rest = segments[first_segments:]
+    parts = [tuple(rest[k : k + at_once]) for k in range(0, len(rest), at_once)]
+    met = [written(fingerprint_links(labelled.df, Pivots(words, p), radius, bucket_limit), "near-met") for p in parts]
+    links = begin.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    for other in met:
         links = links.union(other.df)
     tree = components(links, "near-candidates")
-    for t in (fps, *met):
+    for t in (fps, labelled, *met):
         t.drop()
     rooted = classes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select("cls", "fp", "n", F.col("first.row").alias("row"), F.coalesce("root", "fp").alias("root"))
     many = rooted.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("total")).where("c > 1").drop("c")

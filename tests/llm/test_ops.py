@@ -649,3 +649,20 @@ def test_spanning_links_join_what_all_pairs_join():
         child, root = simhash.spanning_links(keys, lambda a, b, p=place: np.abs(p[a] - p[b]) <= 3)
         assert np.array_equal(simhash.forest(child, root, n), want)
         assert len(child) == n - len(set(want.tolist()))
+
+
+def test_spanning_links_leave_out_what_labels_join():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        n = int(rng.integers(1, 300))
+        keys = np.sort(rng.integers(0, rng.integers(1, 6), n))
+        place = rng.integers(0, rng.integers(2, 3000), n)
+        labels = rng.integers(0, max(1, n // 2), n)
+        u, v = np.triu_indices(n, 1)
+        same = (keys[u] == keys[v]) & (labels[u] == labels[v])
+        linked = (keys[u] == keys[v]) & (np.abs(place[u] - place[v]) <= 3)
+        want = simhash.forest(u[linked | same], v[linked | same], n)
+        before = simhash.forest(u[same], v[same], n)
+        child, root = simhash.spanning_links(keys, lambda a, b, p=place: np.abs(p[a] - p[b]) <= 3, labels)
+        assert np.array_equal(simhash.forest(np.concatenate((child, u[same])), np.concatenate((root, v[same])), n), want)
+        assert len(child) == len(set(before.tolist())) - len(set(want.tolist()))
