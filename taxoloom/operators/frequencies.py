@@ -57,3 +57,27 @@ def distribution(tfidf: DataFrame, dl: DataFrame) -> DataFrame:
 def top_terms(tfidf: DataFrame, k: int = 10) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("tfidf", 9)), "term_id")
     return tfidf.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def holds_term(tf: DataFrame, doc_id: int, term_id: int) -> bool:
+    return not tf.where((F.col("doc_id") == doc_id) & (F.col("term_id") == term_id)).isEmpty()
+
+
+def first_documents(docs: DataFrame, n: int, start: int = 0, id_col: str = "doc_id") -> DataFrame:
+    """The first ``n`` documents by id from ``start`` on."""
+    return docs.where(F.col(id_col) >= start).orderBy(id_col).limit(n)
+
+
+def merged(*parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Long tables (doc_id, term_id, value columns) as one, and the (doc_id, term_id) that more than one row has.
+
+    Of repeated keys the row of the last part stays.
+    """
+    both = None
+    for i, part in enumerate(parts):
+        rows = part.withColumn("_part", F.lit(i))
+        both = rows if both is None else both.unionByName(rows)
+    values = [c for c in both.columns if c not in ("doc_id", "term_id", "_part")]
+    grouped = both.groupBy("doc_id", "term_id").agg(F.max(F.struct("_part", *values)).alias("v"), F.count("*").alias("n"))
+    return grouped.select("doc_id", "term_id", *(F.col(f"v.{c}").alias(c) for c in values)), grouped.where("n > 1").select("doc_id", "term_id", "n")
+

@@ -96,3 +96,9 @@ def sub_corpora(scoring: DataFrame, training: DataFrame, retrieval: DataFrame, m
 
 def sub_corpus_size(n_docs: int, level: int, fan_out: int = 5) -> int:
     return int(n_docs / (fan_out * (level + 1)))
+
+
+def by_importance(ranked_terms: DataFrame, postings: DataFrame, k: int = 200) -> DataFrame:
+    """Distinct documents of the ``k`` most central terms of each label (node_id, label, term_id, rank)."""
+    return documents_of(ranked_terms.where(F.col("rank") <= k).select("node_id", "label", "term_id"), postings).distinct()
+

@@ -106,14 +106,16 @@ def child_ids(spark, sf):
     return tree.child_ids(terms(spark, sf).select("node_id", F.col("term_id").alias("label")), 100)
 
 
-POST = "tf AS (SELECT DISTINCT l_partkey AS term_id, l_orderkey AS doc_id FROM lineitem), par AS (SELECT DISTINCT (term_id % 5)::BIGINT AS node_id, term_id FROM tf WHERE term_id < 25), own AS (SELECT DISTINCT (term_id % 5)::BIGINT AS node_id, term_id FROM tf)"
+POST = "tf AS (SELECT DISTINCT l_partkey AS term_id, l_orderkey AS doc_id FROM lineitem), par AS (SELECT node_id, term_id FROM (SELECT (term_id % 5)::BIGINT AS node_id, term_id, row_number() OVER (PARTITION BY term_id % 5 ORDER BY count(*) DESC, term_id) AS k FROM tf GROUP BY term_id) WHERE k <= 10), own AS (SELECT DISTINCT (term_id % 5)::BIGINT AS node_id, term_id FROM tf)"
 INCL = POST + ", pd AS (SELECT DISTINCT node_id, doc_id FROM par JOIN tf USING (term_id)), incl AS (SELECT o.node_id, o.term_id, count(p.doc_id) / (count(*) + 1) AS incl FROM own o JOIN tf USING (term_id) LEFT JOIN pd p ON p.node_id = o.node_id AND p.doc_id = tf.doc_id GROUP BY ALL)"
 
 
 def included(spark, sf):
     tf = frequencies.term_frequency(occurrences(spark, sf))
     own = tf.select("term_id").distinct().select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id")
-    return labeling.inclusion(frequencies.postings(tf), own.where("term_id < 25"), own)
+    # the ten terms of most documents of each node stand for its parent's labels
+    often = frequencies.document_frequency(tf).select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id", F.col("df").alias("score"))
+    return labeling.inclusion(frequencies.postings(tf), labeling.top_labels(often).select("node_id", "term_id"), own)
 
 
 @query("inclusion_score", f"WITH {INCL} SELECT node_id, term_id, round(incl, 6) AS incl FROM incl")
@@ -149,6 +151,40 @@ def label_tree_repr(spark, sf):
     return labeling.label_tree(edges(spark, sf), base, post, labeling.VARIANTS["repr"], 0, 2, k=3).select("node_id", "term_id", "score", "rank")
 
 
+def _variant_sql(name: str) -> str:
+    v = labeling.VARIANTS[name]
+    plain = "cos" if v.cos else "repr"
+    factors = " * ".join(f for on, f in ((v.hypo, "hypo"), (v.incl, "incl"), (v.cos, "(cos + 1) / 2")) if on) or "1"
+    full = f"CASE WHEN depth > 1 THEN sqrt({factors}) ELSE {plain} END" if v.label_score else plain
+    return f"""b_{name} AS (SELECT b.*, 1.0 / (1 + b.term_id) AS hypo FROM vb b),
+    l0_{name} AS (SELECT * FROM (SELECT node_id, term_id, round({plain}, 9) AS score, row_number() OVER (PARTITION BY node_id ORDER BY round({plain}, 9) DESC, term_id)::INT AS rank FROM b_{name} WHERE depth < 2) WHERE rank <= 3),
+    pt_{name} AS (SELECT DISTINCT e.child AS node_id, doc_id FROM edges e JOIN l0_{name} l ON l.node_id = e.parent JOIN vp p ON p.term_id = l.term_id),
+    in_{name} AS (SELECT b.node_id, b.term_id, count(t.doc_id) / (count(*) + 1) AS incl FROM b_{name} b JOIN vp p USING (term_id) LEFT JOIN pt_{name} t ON t.node_id = b.node_id AND t.doc_id = p.doc_id GROUP BY ALL),
+    l2_{name} AS (SELECT * FROM (SELECT node_id, term_id, s AS score, row_number() OVER (PARTITION BY node_id ORDER BY s DESC, term_id)::INT AS rank FROM (SELECT b.node_id, b.term_id, round({full}, 9) AS s FROM b_{name} b LEFT JOIN in_{name} i USING (node_id, term_id) WHERE depth = 2)) WHERE rank <= 3)"""
+
+
+_VARIANTS = ", ".join(map(_variant_sql, labeling.VARIANTS))
+_ALL = " UNION ALL ".join(f"SELECT '{n}' AS variant, * FROM l{d}_{n}" for n in labeling.VARIANTS for d in (0, 2))
+
+
+@query(
+    "label_tree_variants",
+    f"""WITH {TREE}, vb AS (SELECT node_id, term_id, score AS repr, sin(node_id + term_id) AS cos, CASE WHEN node_id = 0 THEN 0 WHEN node_id < 10 THEN 1 ELSE 2 END AS depth FROM terms),
+    vp AS (SELECT DISTINCT ascii(c_mktsegment)::BIGINT AS term_id, o_orderdate AS doc_id FROM orders JOIN customer ON o_custkey = c_custkey), {_VARIANTS} SELECT variant, node_id, term_id, round(score, 6) AS score, rank FROM ({_ALL})""",
+)
+def label_tree_variants(spark, sf):
+    """All eight variants over the whole tree; sin(node + term) stands for a cosine, 1 / (1 + term) for a probability."""
+    base = terms(spark, sf).select("node_id", "term_id", F.col("score").alias("repr"), F.sin((F.col("node_id") + F.col("term_id")).cast("double")).alias("cos"))
+    hypo = base.select("node_id", "term_id", (1.0 / (1 + F.col("term_id"))).alias("hypo"))
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    tf = o.join(c, o.o_custkey == c.c_custkey).select(F.ascii("c_mktsegment").cast("long").alias("term_id"), F.col("o_orderdate").alias("doc_id")).distinct()
+    post, out = frequencies.postings(tf), None
+    for name, variant in labeling.VARIANTS.items():
+        got = labeling.label_tree(edges(spark, sf), base, post, variant, 0, 2, hypo, k=3).select(F.lit(name).alias("variant"), "node_id", "term_id", F.round("score", 6).alias("score"), "rank")
+        out = got if out is None else out.union(got)
+    return out
+
+
 @query("relation_precision", "SELECT count(*) AS n, sum(toxic)::BIGINT AS n_true, round(avg(toxic), 6) AS precision FROM labels WHERE toxic IS NOT NULL")
 def relation_precision(spark, sf):
     return evaluation.precision(table(spark, sf, "labels").select(F.col("toxic").alias("label"))).withColumn("precision", F.round("precision", 6))

@@ -103,17 +103,16 @@ def layer_choice(spark, sf):
 
 @query(
     "doc_embedding",
-    f"""WITH {TF}, v AS (SELECT term, row_number() OVER (ORDER BY term) - 1 AS id FROM dfs), e AS (SELECT vec_id, embedding::DOUBLE[] AS emb FROM embeddings),
-    j AS (SELECT doc_id, tfidf, emb FROM tfidf JOIN v USING (term) JOIN e ON vec_id = id) SELECT doc_id, (i - 1)::INT AS i, round(avg(tfidf * emb[i]), 6) AS x FROM j, LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i) GROUP BY doc_id, i""",
+    f"""WITH {TF}, n AS (SELECT max(vec_id) + 1 AS n FROM embeddings), j AS (SELECT doc_id, tfidf, embedding::DOUBLE[] AS emb FROM tfidf, n JOIN embeddings ON vec_id = ('0x' || substr(md5(term), 1, 8))::BIGINT % n)
+    SELECT doc_id, (i - 1)::INT AS i, round(avg(tfidf * emb[i]), 6) AS x FROM j, LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i) GROUP BY doc_id, i""",
 )
 def doc_embedding(spark, sf):
-    tf = counts(spark, sf)
-    found = frequencies.tf_idf(tf, table(spark, sf, "documents"))
+    """Every term of every document has a vector: that of the id which the term's MD5 gives."""
+    found = frequencies.tf_idf(counts(spark, sf), table(spark, sf, "documents"))
     emb = term_emb(spark, sf)
-    # Terms in alphabetical order stand for the vectors in id order: only as many as there are vectors are ranked.
     n = emb.agg((F.max("term_id") + 1).alias("n"))
-    vocab = tf.select("term_id").distinct().orderBy("term_id").limit(n.first()[0] or 1)
-    ids = vocab.withColumn("k", (F.row_number().over(Window.orderBy("term_id")) - 1).cast("long"))
+    vocab = found.select("term_id").distinct().join(F.broadcast(n))
+    ids = vocab.select("term_id", (F.conv(F.substring(F.md5("term_id"), 1, 8), 16, 10).cast("long") % F.col("n")).alias("k"))
     named = ids.join(emb.withColumnRenamed("term_id", "k"), "k").select("term_id", "emb")
     return vectors.document_vectors(found, named).select("doc_id", F.posexplode("emb").alias("i", "x")).withColumn("x", F.round("x", 6))
 
