@@ -357,7 +357,7 @@ def keep_one(
     least: float = 0.8,
     bucket_limit: int = 8192,
     block_shingles: int = 1 << 20,
-    first_segments: int = 16,
+    first_segments: int = 8,
     at_once: int = 36,
     id_col: str = "doc_id",
     text_col: str = "text",
