@@ -20,10 +20,11 @@ the first one stays. With one line this is the first member of its interval at l
 interval of its m-line window.
 
 Each level sorts the distinct pairs only, after counting them with partial aggregation, and joins ranks back
-to windows, a join that Spark can split where one line or run is very common. Rows are numbered once, in a
-written table, so repeated rows (also of one id) are told apart and the later one loses its lines. Null texts
-have no lines and stay null. Ids sort with null first. An empty table gives no rows. Texts of any length are
-one row until their lines are exploded. Other columns of any name are carried along or left out, unread.
+to windows, a join that Spark can split where one line or run is very common. Rows equal in all columns are one
+row with a count: the first of them is treated as any other, the later ones lose all lines (if they have
+``least_lines``). Rows of one id that differ are told apart by the MD5 of all columns. Null texts have no lines
+and stay null. Ids sort with null first. An empty table gives no rows. A text of any length is one row until its
+lines are exploded as hashes. Other columns of any name are carried along or left out, unread.
 """
 
 from __future__ import annotations
@@ -38,13 +39,13 @@ from pyspark.sql.types import LongType, StringType, StructType
 from ._run import Written, lean, ready, written
 
 
-def _lines(rows: DataFrame, text: str) -> DataFrame:
-    """One row for each line that isn't blank: place among those, place in the text, and MD5."""
+def _documents(rows: DataFrame, text: str) -> Written:
+    """Distinct rows by ``_key``: a number _r, their count (2 for more), id, MD5 of the text and of its lines that aren't blank."""
     parts = F.transform(F.split(F.col(text), "\n", -1), lambda x, i: F.struct(i.alias("pos"), F.trim(x).alias("line")))
-    parts = F.filter(parts, lambda x: x["line"] != "")
-    named = rows.select("_r", "_id", F.unhex(F.md5(text)).alias("_t"), parts.alias("_parts"))  # the text itself isn't exploded
-    spread = named.select("_r", "_id", "_t", F.posexplode("_parts").alias("seq", "x"))
-    return spread.select("_r", "_id", "_t", "seq", F.col("x.pos").alias("pos"), F.unhex(F.md5("x.line")).alias("h"))
+    hashed = F.transform(F.filter(parts, lambda x: x["line"] != ""), lambda x: F.struct(x["pos"].alias("pos"), F.unhex(F.md5(x["line"])).alias("h")))
+    named = rows.select("_key", F.struct("_id", F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("t"), F.coalesce(hashed, F.array()).alias("lines")).alias("v"))
+    one = named.groupBy("_key").agg(F.first("v").alias("v"), F.count("*").alias("copies"))
+    return written(one.select("_key", F.monotonically_increasing_id().alias("_r"), F.least("copies", F.lit(2)).cast("int").alias("c"), "copies", "v._id", F.col("v.t").alias("_t"), "v.lines"), "lines-documents")
 
 
 def _ranked(groups: DataFrame, keys: list[str], name: str) -> Written:
@@ -57,16 +58,16 @@ def _ahead(by: int):
 
 
 def levels_of(lines: DataFrame, most_levels: int = 40) -> list[Written]:
-    """Rows (_r, seq, rank) of the windows of 1, 2, 4, ... lines that occur at least twice; the last level is empty."""
-    ranks = _ranked(lines.groupBy("h").agg(F.count("*").alias("c")), ["h"], "lines-rank")
-    levels = [written(lines.join(ranks.df, "h").select("_r", "seq", "rank"), "lines-level")]
+    """Rows (_r, seq, c, rank) of the windows of 1, 2, 4, ... lines that occur at least twice; the last level is empty."""
+    ranks = _ranked(lines.groupBy("h").agg(F.sum("c").alias("c")), ["h"], "lines-rank")
+    levels = [written(lines.join(ranks.df, "h").select("_r", "seq", "c", "rank"), "lines-level")]
     ranks.drop()
     for r in range(most_levels):
         if r and levels[-1].df.isEmpty():
             return levels
         pairs = levels[-1].df.withColumn("rank2", F.first("rank").over(_ahead(1 << r))).where("rank2 is not null").withColumnRenamed("rank", "rank1")
-        ranks = _ranked(pairs.groupBy("rank1", "rank2").agg(F.count("*").alias("c")), ["rank1", "rank2"], "lines-rank")
-        levels.append(written(pairs.join(ranks.df, ["rank1", "rank2"]).select("_r", "seq", "rank"), "lines-level"))
+        ranks = _ranked(pairs.groupBy("rank1", "rank2").agg(F.sum("c").alias("c")), ["rank1", "rank2"], "lines-rank")
+        levels.append(written(pairs.join(ranks.df, ["rank1", "rank2"]).select("_r", "seq", "c", "rank"), "lines-level"))
         ranks.drop()
     raise RuntimeError(f"runs still repeat after {most_levels} doublings")
 
@@ -78,19 +79,20 @@ def longest_runs(levels: list[Written]) -> DataFrame:
     open_ = None
     for r in range(top, 0, -1):
         # intervals that hold a place whose run ends between this level and the next, with all their members
-        ends = levels[r].df.join(levels[r + 1].df.withColumn("_more", F.lit(True)), ["_r", "seq"], "left").drop(levels[r + 1].df["rank"])
-        ends = ends.select("_r", "seq", F.concat(F.lit(f"{r}:"), "rank").alias("g"), F.lit(1 << r).cast("long").alias("n"), F.col("_more").isNull().alias("own"))
+        more = levels[r + 1].df.select("_r", "seq", F.lit(True).alias("_more"))
+        ends = levels[r].df.join(more, ["_r", "seq"], "left").select("_r", "seq", "c", "rank", F.col("_more").isNull().alias("own"))
+        ends = ends.select("_r", "seq", "c", F.concat(F.lit(f"{r}:"), "rank").alias("g"), F.lit(1 << r).cast("long").alias("n"), "own")
         spread = ends if open_ is None else ends.union(open_.df)
         step = 1 << (r - 1)
         nxt = levels[r - 1].df.select("_r", F.col("seq").alias("_at"), F.col("rank").alias("k"))
-        looked = written(spread.withColumn("_at", F.col("seq") + F.col("n")).join(nxt, ["_r", "_at"], "left").select("_r", "seq", "g", "n", "own", "k"), "lines-looked")
+        looked = written(spread.withColumn("_at", F.col("seq") + F.col("n")).join(nxt, ["_r", "_at"], "left").select("_r", "seq", "c", "g", "n", "own", "k"), "lines-looked")
         # a partner in the next lines makes a longer interval, open if a place of its own is in it
-        grown = looked.df.where("k is not null").groupBy("g", "k").agg((F.count("*") > 1).alias("two"), F.max("own").alias("some")).where("two and some").select("g", "k")
-        longer = looked.df.join(grown, ["g", "k"]).select("_r", "seq", F.concat_ws(".", "g", "k").alias("g"), (F.col("n") + step).alias("n"), "own")
+        grown = looked.df.where("k is not null").groupBy("g", "k").agg((F.sum("c") > 1).alias("two"), F.max("own").alias("some")).where("two and some").select("g", "k")
+        longer = looked.df.join(grown, ["g", "k"]).select("_r", "seq", "c", F.concat_ws(".", "g", "k").alias("g"), (F.col("n") + step).alias("n"), "own")
         # those that found none keep the old interval open, and its other members serve them
-        kept = looked.df.join(grown.withColumn("_hit", F.lit(True)), ["g", "k"], "left").select("_r", "seq", "g", "n", (F.col("own") & F.col("_hit").isNull()).alias("own"))
+        kept = looked.df.join(grown.withColumn("_hit", F.lit(True)), ["g", "k"], "left").select("_r", "seq", "c", "g", "n", (F.col("own") & F.col("_hit").isNull()).alias("own"))
         needed = kept.where("own").select("g").distinct()
-        new = written(longer.union(kept.join(needed, "g", "left_semi").select("_r", "seq", "g", "n", "own")), "lines-open")
+        new = written(longer.union(kept.join(needed, "g", "left_semi").select("_r", "seq", "c", "g", "n", "own")), "lines-open")
         looked.drop()
         if open_ is not None:
             open_.drop()
@@ -100,9 +102,10 @@ def longest_runs(levels: list[Written]) -> DataFrame:
     return done
 
 
-def repeated_runs(rows: DataFrame, text: str, least_lines: int = 1, most_levels: int = 40) -> DataFrame:
+def repeated_runs(documents: DataFrame, least_lines: int = 1, most_levels: int = 40) -> DataFrame:
     """Per row ``_r``: places of the lines to delete, the longest repeated run and the number of maximal ones."""
-    lines = written(_lines(rows, text), "lines-base")
+    spread = documents.select("_r", "c", "_id", "_t", F.posexplode("lines").alias("seq", "x"))
+    lines = written(spread.select("_r", "c", "_id", "_t", "seq", F.col("x.pos").alias("pos"), F.col("x.h").alias("h")), "lines-base")
     place = F.struct("_id", "_t", "_r", "seq")
     levels = levels_of(lines.df, most_levels)
     if least_lines == 1:
@@ -111,7 +114,7 @@ def repeated_runs(rows: DataFrame, text: str, least_lines: int = 1, most_levels:
         r = min(least_lines.bit_length() - 1, len(levels) - 1)
         ranks = levels[r].df.withColumn("rank2", F.first("rank").over(_ahead(least_lines - (1 << r)))).where("rank2 is not null")
         windows = lines.df.join(ranks.select("_r", "seq", F.struct("rank", "rank2").alias("w")), ["_r", "seq"])
-    firsts = windows.groupBy("w").agg(F.count("*").alias("c"), F.min(place).alias("first")).where("c > 1").drop("c")
+    firsts = windows.groupBy("w").agg(F.count("*").alias("many"), F.min(place).alias("first")).where("many > 1").drop("many")
     later = windows.join(firsts, "w").where(~F.col("first").eqNullSafe(place))
     if least_lines > 1:
         covered = later.select("_r", F.explode(F.sequence("seq", F.col("seq") + F.lit(least_lines - 1))).alias("seq")).distinct()
@@ -141,14 +144,17 @@ def dedup(docs: DataFrame, least_lines: int = 1, id_col: str = "doc_id", text_co
     plain = docs.toDF(*names).withColumn(text, F.col(text).cast("string"))
     if digest:
         plain = plain.select(*dict.fromkeys((ident, text)))
-    numbered = written(plain.withColumn("_r", F.monotonically_increasing_id()), "lines-rows")
-    plain = numbered.df
-    rows = plain.select("_r", F.col(ident).alias("_id"), F.col(text).alias("_text"))
-    gone = repeated_runs(rows, "_text", least_lines)
+    whole = F.to_json(F.struct(*plain.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+    plain = plain.withColumn("_key", F.unhex(F.md5(whole)))
+    documents = _documents(plain.select("_key", F.col(ident).alias("_id"), F.col(text).alias("_text")), "_text")
+    found = repeated_runs(documents.df, least_lines)
+    named = documents.df.select("_r", "_key", "copies").join(found, "_r", "left").where("copies > 1 or longest_run is not null")
+    facts = written(named.select("_key", "copies", "gone", "longest_run", "n_runs"), "lines-facts")
+    documents.drop()
     kept = [ident] if digest else [c for c in names if c != text]
     counts = ["n_lines", "n_removed", "longest_run", "n_runs"]
     schema = StructType([plain.schema[c] for c in kept])
-    for c in counts:
+    for c in (*counts, "_times"):
         schema = schema.add(c, LongType())
     schema = schema.add("out", StringType())
 
@@ -156,20 +162,27 @@ def dedup(docs: DataFrame, least_lines: int = 1, id_col: str = "doc_id", text_co
         at = len(kept)
         for b in batches:
             n, removed, out = [], [], []
-            for raw, away in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), strict=True):
+            for raw, away, later in zip(b.column(at).to_pylist(), b.column(at + 1).to_pylist(), b.column(at + 4).to_pylist(), strict=True):
                 parts = (raw or "").split("\n")
-                n.append(sum(1 for x in parts if x.strip(" ")))
-                away = set(away or ())
+                places = [i for i, x in enumerate(parts) if x.strip(" ")]
+                n.append(len(places))
+                away = set(away or ()) if not later else set(places) if len(places) >= least_lines else set()
                 removed.append(len(away))
                 left = "\n".join([x for i, x in enumerate(parts) if i not in away]) if away else raw
                 out.append(hashlib.sha256((left or "").encode("utf-8", "surrogatepass")).hexdigest() if digest else left)
             known = [b.column(at + k).fill_null(0).cast(pa.int64()) for k in (2, 3)]
+            times = pa.array([c - 1 if later else 1 for later, c in zip(b.column(at + 4).to_pylist(), b.column(at + 5).to_pylist(), strict=True)], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(at)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *known, pa.array(out, pa.string())],
-                [*kept, *counts, "out"],
+                [*(b.column(i) for i in range(at)), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), *known, times, pa.array(out, pa.string())],
+                [*kept, *counts, "_times", "out"],
             )
 
-    done = plain.join(gone, "_r", "left").select(*kept, text, "gone", "longest_run", "n_runs").mapInArrow(lean(run), schema)
+    values = F.struct(*(c for c in plain.columns if c != "_key"))
+    one = plain.groupBy("_key").agg(F.first(values).alias("v"))  # of rows equal in all columns; copies come back below
+    joined = one.join(facts.df, "_key", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    both = joined.withColumn("later", F.explode(F.when(F.col("copies") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    done = both.select(*(F.col(f"v.{c}").alias(c) for c in (*kept, text)), "gone", "longest_run", "n_runs", "later", "copies").mapInArrow(lean(run), schema)
+    done = done.withColumn("_time", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
     if digest:
         return done.select(F.col(ident).alias(id_col), "n_lines", "n_removed", F.col("out").alias("kept_sha256"), "longest_run", "n_runs")
     back = [F.col("out" if c == text else c).alias(o) for c, o in zip(names, docs.columns, strict=True)]
