@@ -33,7 +33,7 @@ from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, Str
 from ._components import components
 from ._run import lean, ready, written
 from ._text import mix, strings
-from .simhash import met_in_blocks, spanning_links
+from .simhash import large_buckets, spanning_links, split_buckets
 
 PLACES = 128
 PERIOD = 4096
@@ -287,29 +287,33 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(lean(run), schema).withColumnRenamed("id", id_col)
 
 
-def classes_of(prints: DataFrame, least: float = 0.8, bands: int = 16, bins: int = 6, bucket_limit: int = 8192) -> DataFrame:
+def classes_of(prints: DataFrame, least: float = 0.8, bands: int = 16, bins: int = 6, bucket_limit: int = 8192, at_once: int = 8) -> DataFrame:
     """fingerprint and class_id (smallest id) of groups linked by likeness of at least ``least``.
 
     ``prints`` has columns id and fingerprint. Equal fingerprints are one class. Each band is a random sample of
     bins; classes that agree in a band's bins meet in a bucket, and pairs there are verified on all bins. At a
     likeness of 0.8 a pair meets in one of 16 bands of 6 bins with probability 0.995, at 0.9 with 0.999999;
-    unrelated texts meet once in 700,000 times. A bucket of more than ``bucket_limit`` classes is dealt into
-    blocks that meet two by two, so every pair of it is still looked at. Fingerprints without a bin (of empty
+    unrelated texts meet once in 700,000 times. A bucket of more than about ``bucket_limit`` classes (told by a
+    sample of them) is dealt into blocks that meet two by two, so every pair of it is still looked at. ``at_once``
+    bands are searched at a time, which bounds the space of their shuffle. Fingerprints without a bin (of empty
     texts) are one class.
     """
     classes = written(prints.groupBy("fingerprint").agg(F.min("id").alias("first")), "editprint-classes")
     rng = np.random.default_rng(31)
     picks = [rng.choice(PLACES, bins, replace=False) for _ in range(bands)]
 
-    def keyed(batches):
-        for b in batches:
-            rows = as_rows(b.column(0).to_pylist())
-            packed = pa.array(_packed(rows), pa.binary())
-            for k, pick in enumerate(picks):
-                key = np.full(len(rows), k + 1, np.uint64)
-                for place in pick.tolist():
-                    key = mix(key * np.uint64(31) + rows[:, place].astype(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), packed], ["key", "fp"])
+    def keyed(low: int, high: int):
+        def run(batches):
+            for b in batches:
+                rows = as_rows(b.column(0).to_pylist())
+                packed = pa.array(_packed(rows), pa.binary())
+                for k in range(low, high):
+                    key = np.full(len(rows), k + 1, np.uint64)
+                    for place in picks[k].tolist():
+                        key = mix(key * np.uint64(31) + rows[:, place].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), packed], ["key", "fp"])
+
+        return run
 
     def paired(batches):
         keys, prints_ = np.zeros(0, np.int64), []
@@ -329,10 +333,15 @@ def classes_of(prints: DataFrame, least: float = 0.8, bands: int = 16, bins: int
         if len(keys):
             yield out(keys, prints_)
 
-    rows = classes.df.select("fingerprint").mapInArrow(lean(keyed), "key long, fp binary")
-    hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
-    dealt = rows.join(hot, "key", "left_anti").union(met_in_blocks(rows.join(hot, "key"), "fp", F.ceil(2 * F.col("count") / bucket_limit)))
-    links = dealt.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary")
+    share, links = max(1, bucket_limit // 128), None
+    for low in range(0, bands, at_once):
+        run = lean(keyed(low, min(bands, low + at_once)))
+        rows = classes.df.select("fingerprint").mapInArrow(run, "key long, fp binary")
+        some = classes.df.select("fingerprint").where(F.pmod(F.xxhash64("fingerprint"), F.lit(share)) == 0).mapInArrow(run, "key long, fp binary")
+        hot = large_buckets(some, share, bucket_limit, "editprint-hot")
+        dealt = split_buckets(rows, hot, "fp", bucket_limit)
+        found = written(dealt.repartition(F.col("key")).sortWithinPartitions("key", "fp").mapInArrow(lean(paired), "a binary, b binary"), "editprint-met").df
+        links = found if links is None else links.union(found)
     tree = components(links, "editprint-links")
     fp = F.unhex("fingerprint")
     rooted = classes.df.withColumn("fp", fp).join(tree.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -361,5 +370,4 @@ def similar_documents(docs: DataFrame, least: float = 0.8, bands: int = 16, bins
 
 def with_classes(done: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
     """Rows with a ``fingerprint``, each with its class: see ``classes_of``."""
-    table = written(done, "editprint-done").df
-    return table.join(classes_of(table.select(F.col(id_col).alias("id"), "fingerprint"), least), "fingerprint")
+    return done.join(classes_of(done.select(F.col(id_col).alias("id"), "fingerprint"), least), "fingerprint")

@@ -225,6 +225,23 @@ def met_in_blocks(rows: DataFrame, member: str, blocks: F.Column) -> DataFrame:
     return met.withColumn("key", F.xxhash64("key", F.least("_own", "_other"), F.greatest("_own", "_other"))).select(*(c for c in rows.columns if c != "count"))
 
 
+def large_buckets(sample: DataFrame, share: int, bucket_limit: int, name: str) -> DataFrame | None:
+    """Keys of a sample of one row in ``share`` that stand for more than ``bucket_limit`` rows, with that count; None if there are none.
+
+    A written table, whose size Spark knows when it plans the joins with it.
+    """
+    counted = sample.groupBy("key").agg((F.count("*") * share).alias("count"))
+    hot = written(counted.where(F.col("count") > bucket_limit), name).df
+    return None if hot.isEmpty() else hot
+
+
+def split_buckets(rows: DataFrame, hot: DataFrame | None, member: str, bucket_limit: int) -> DataFrame:
+    """The rows, those of large buckets dealt into blocks that meet two by two."""
+    if hot is None:
+        return rows
+    return rows.join(hot, "key", "left_anti").union(met_in_blocks(rows.join(hot, "key"), member, F.ceil(2 * F.col("count") / bucket_limit)))
+
+
 def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit: int = 8192) -> DataFrame:
     """Links a, b among distinct fingerprints (column fp) that connect whatever is within the radius.
 
@@ -276,10 +293,8 @@ def fingerprint_links(fps: DataFrame, pivots: Pivots, radius: int, bucket_limit:
         # Which buckets are large is told by one in ``share`` of the fingerprints. A large one that it overlooks is
         # gathered whole, up to some times the limit; nothing else depends on it.
         share = max(1, bucket_limit // 128)
-        some = rows_of(fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)).groupBy("key").agg((F.count("*") * share).alias("count"))
-        hot = some.where(F.col("count") > bucket_limit)
-        cold = links_of(rows.join(hot, "key", "left_anti"))
-        return cold.union(links_of(met_in_blocks(rows.join(hot, "key"), "fp", F.ceil(2 * F.col("count") / bucket_limit))))
+        hot = large_buckets(rows_of(fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0)), share, bucket_limit, "near-hot")
+        return links_of(split_buckets(rows, hot, "fp", bucket_limit))
     hot = rows.groupBy("key").count().where(F.col("count") > bucket_limit)
     cold = links_of(rows.join(hot, "key", "left_anti"))
 
