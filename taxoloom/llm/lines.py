@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from ._run import Written, lean, ready, written
+from ._skew import join_counted
 
 
 def _documents(rows: DataFrame, text: str) -> Written:
@@ -87,13 +88,15 @@ def longest_runs(levels: list[Written]) -> DataFrame:
         nxt = levels[r - 1].df.select("_r", F.col("seq").alias("_at"), F.col("rank").alias("k"))
         looked = written(spread.withColumn("_at", F.col("seq") + F.col("n")).join(nxt, ["_r", "_at"], "left").select("_r", "seq", "c", "g", "n", "own", "k"), "lines-looked")
         # a partner in the next lines makes a longer interval, open if a place of its own is in it
-        grown = looked.df.where("k is not null").groupBy("g", "k").agg((F.sum("c") > 1).alias("two"), F.max("own").alias("some")).where("two and some").select("g", "k")
-        longer = looked.df.join(grown, ["g", "k"]).select("_r", "seq", "c", F.concat_ws(".", "g", "k").alias("g"), (F.col("n") + step).alias("n"), "own")
+        pairs = looked.df.where("k is not null").groupBy("g", "k").agg((F.sum("c") > 1).alias("two"), F.max("own").alias("some"))
+        grown = written(pairs.where("two and some").select("g", "k"), "lines-grown")  # as a table, so that Spark can split the joins with it
+        longer = looked.df.join(grown.df, ["g", "k"]).select("_r", "seq", "c", F.concat_ws(".", "g", "k").alias("g"), (F.col("n") + step).alias("n"), "own")
         # those that found none keep the old interval open, and its other members serve them
-        kept = looked.df.join(grown.withColumn("_hit", F.lit(True)), ["g", "k"], "left").select("_r", "seq", "c", "g", "n", (F.col("own") & F.col("_hit").isNull()).alias("own"))
+        kept = looked.df.join(grown.df.withColumn("_hit", F.lit(True)), ["g", "k"], "left").select("_r", "seq", "c", "g", "n", (F.col("own") & F.col("_hit").isNull()).alias("own"))
         needed = kept.where("own").select("g").distinct()
         new = written(longer.union(kept.join(needed, "g", "left_semi").select("_r", "seq", "c", "g", "n", "own")), "lines-open")
         looked.drop()
+        grown.drop()
         if open_ is not None:
             open_.drop()
         open_ = new
@@ -114,8 +117,8 @@ def repeated_runs(documents: DataFrame, least_lines: int = 1, most_levels: int =
         r = min(least_lines.bit_length() - 1, len(levels) - 1)
         ranks = levels[r].df.withColumn("rank2", F.first("rank").over(_ahead(least_lines - (1 << r)))).where("rank2 is not null")
         windows = lines.df.join(ranks.select("_r", "seq", F.struct("rank", "rank2").alias("w")), ["_r", "seq"])
-    firsts = windows.groupBy("w").agg(F.count("*").alias("many"), F.min(place).alias("first")).where("many > 1").drop("many")
-    later = windows.join(firsts, "w").where(~F.col("first").eqNullSafe(place))
+    firsts = written(windows.groupBy("w").agg(F.count("*").alias("many"), F.min(place).alias("first")).where("many > 1"), "lines-firsts")
+    later = join_counted(windows, firsts.df, ["w"], lines.df.count()).where(~F.col("first").eqNullSafe(place))
     if least_lines > 1:
         covered = later.select("_r", F.explode(F.sequence("seq", F.col("seq") + F.lit(least_lines - 1))).alias("seq")).distinct()
         later = covered.join(lines.df.select("_r", "seq", "pos"), ["_r", "seq"])
@@ -126,6 +129,7 @@ def repeated_runs(documents: DataFrame, least_lines: int = 1, most_levels: int =
     per_row = runs.withColumn("_new", starts).groupBy("_r").agg(F.max("run").alias("longest_run"), F.sum(F.col("_new").cast("long")).alias("n_runs"))
     out = written(per_row.join(gone, "_r", "left"), "lines-gone")
     lines.drop()
+    firsts.drop()
     for t in levels:
         t.drop()
     return out.df

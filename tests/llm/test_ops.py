@@ -11,10 +11,13 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from taxoloom.llm import bpe, editprint, licenses, lines, packing, simhash, substring, topk, toxicity, urls
 from taxoloom.llm._components import components
+from taxoloom.llm._run import written
+from taxoloom.llm._skew import join_counted
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 TEXT = "doc_id long, text string"
@@ -666,3 +669,11 @@ def test_spanning_links_leave_out_what_labels_join():
         child, root = simhash.spanning_links(keys, lambda a, b, p=place: np.abs(p[a] - p[b]) <= 3, labels)
         assert np.array_equal(simhash.forest(np.concatenate((child, u[same])), np.concatenate((root, v[same])), n), want)
         assert len(child) == len(set(before.tolist())) - len(set(want.tolist()))
+
+
+def test_hot_keys_join_like_others(spark):
+    rows = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 900)).alias("w"), "id")
+    facts = written(rows.where("w is not null").groupBy("w").agg(F.count("*").alias("many"), F.min("id").alias("first")).where("many > 3"), "facts")
+    assert facts.df.where("many * 1000 > 6000").count() and facts.df.where("many * 1000 <= 6000").count()
+    got = join_counted(rows, facts.df, ["w"], 6000)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts.df, ["w"]).collect()))
