@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.patterns import WORD_NP
 from ..functions.text import ARTICLES, drop_article, strip_tags, tag_string
 from . import corpus, relations
 
@@ -32,6 +31,11 @@ ENDINGS = (
     (r"^[0-9][0-9.,]*$", "CD"), (r"ly$", "RB"), (r"ing$", "VBG"), (r"ed$", "VBN"), (r"(ous|ful|ive|able|ible|less|ical)$", "JJ"), (r"[^suix]s$", "NNS"),
 )
 TOKEN = r"[\p{L}\p{N}_'-]+|[^\p{L}\p{N}_'\s-]"
+#: Java repeats a group by recursion, so a long run overflows the stack, unless the group gives nothing back (``*+``).
+#: Nothing needs to be given back in a run cut after each noun. Last, what stands before no noun is passed over at once.
+_NOUN = r"NN[PS]{0,2}\d+"
+_SPAN_WORDS = r"(?:(?:JJ[RS]{0,2}|IN|VB[NG])\d+ )"
+SPAN = rf"{_SPAN_WORDS}*+{_NOUN}(?: {_SPAN_WORDS}*+{_NOUN})*+|{_SPAN_WORDS}++"
 #: Adjectives and nouns before a noun, with an article (chunks) or of two words at least (candidates).
 CHUNK = r"(?:DT\d+ )?(?:(?:JJ[RS]?|NN[PS]{0,2}|CD)\d+ )*NN[PS]{0,2}\d+"
 CANDIDATE = r"(?:(?:NN[PS]{0,2}\d+|JJ[RS]?\d+) )+NN[PS]{0,2}\d+"
@@ -104,13 +108,19 @@ def positions(match: Column) -> Column:
     return F.transform(F.regexp_extract_all(match, F.lit(r"[A-Z]+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+def _found(tags: Column, pattern: str) -> Column:
+    """Word positions of each match in a tag string; what was only passed over ends with a blank."""
+    hits = F.filter(F.regexp_extract_all(tags, F.lit(pattern), F.lit(0)), lambda m: ~m.endswith(" "))
+    return F.transform(hits, positions)
+
+
 def _matches(sents: DataFrame, tags: Column, pattern: str) -> DataFrame:
     return sents.withColumn("_m", F.explode(F.regexp_extract_all(tags, F.lit(pattern), F.lit(0)))).withColumn("at", positions(F.col("_m"))).drop("_m")
 
 
 def term_spans(sents: DataFrame) -> DataFrame:
     """doc_id, sent_id, at: positions of each run of adjectives, nouns, prepositions and participles before a noun."""
-    return _matches(sents, plain_tags(F.col("words")), WORD_NP).select("doc_id", "sent_id", "at")
+    return sents.select("doc_id", "sent_id", F.explode(_found(plain_tags(F.col("words")), SPAN)).alias("at"))
 
 
 def term_candidates(sents: DataFrame) -> DataFrame:

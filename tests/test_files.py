@@ -82,6 +82,19 @@ def test_own_tagger_and_limits(spark):
     assert frequencies.holds_term(tf, 1, 5) and not frequencies.holds_term(tf, 2, 5)
 
 
+def long_runs(spark):
+    """Runs far beyond the stack: nouns, prepositions before a noun, adjectives before none; then short ones."""
+    n = 20000
+    texts = ["cat " * n, "of " * n + "cat", "useful " * n, "cat of useful hat is of cat of"]
+    return n, linguistics.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+
+
+def test_term_spans_of_long_runs(spark):
+    n, sents = long_runs(spark)
+    got = {(r.doc_id, tuple(r["at"])) for r in linguistics.term_spans(sents).collect()}
+    assert got == {(0, tuple(range(n))), (1, tuple(range(n + 1))), (3, (0, 1, 2, 3)), (3, (5, 6))}
+
+
 def test_negatives_and_trainers(spark):
     terms = spark.createDataFrame([(f"t{i}",) for i in range(12)], "term string")
     known = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(11)], "hypo string, hyper string")
