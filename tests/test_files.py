@@ -95,6 +95,12 @@ def test_term_spans_of_long_runs(spark):
     assert got == {(0, tuple(range(n))), (1, tuple(range(n + 1))), (3, (0, 1, 2, 3)), (3, (5, 6))}
 
 
+def test_term_candidates_of_long_runs(spark):
+    n, sents = long_runs(spark)
+    got = {(r.doc_id, r.term) for r in linguistics.term_candidates(sents).collect()}
+    assert got == {(0, "_".join(["cat"] * n)), (3, "useful_hat")}
+
+
 def test_negatives_and_trainers(spark):
     terms = spark.createDataFrame([(f"t{i}",) for i in range(12)], "term string")
     known = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(11)], "hypo string, hyper string")
