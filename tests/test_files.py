@@ -101,6 +101,14 @@ def test_term_candidates_of_long_runs(spark):
     assert got == {(0, "_".join(["cat"] * n)), (3, "useful_hat")}
 
 
+def test_noun_chunks_of_long_runs(spark):
+    n, sents = long_runs(spark)
+    got = {tuple(r)[:1] + tuple(r)[2:] for r in linguistics.chunk_spans(sents).collect()}
+    assert got == {(0, 0, n, n - 1), (1, n, n + 1, 0), (3, 0, 1, 0), (3, 2, 4, 1), (3, 6, 7, 0)}
+    article = linguistics.tag(spark.createDataFrame([(1, "The 2 big cats and no dog")], "doc_id long, text string"))
+    assert rows(linguistics.chunk_spans(article)) == [(1, 0, 1, 4, 2), (1, 0, 5, 7, 1)]
+
+
 def test_negatives_and_trainers(spark):
     terms = spark.createDataFrame([(f"t{i}",) for i in range(12)], "term string")
     known = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(11)], "hypo string, hyper string")
