@@ -4,9 +4,10 @@ import json
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from taxoloom import config
-from taxoloom.operators import frequencies, learning, linguistics, taxonomy, vectors
+from taxoloom.operators import corpus, frequencies, learning, linguistics, taxonomy, vectors
 from taxoloom.sources import readers, scratch, writers
 
 
@@ -109,6 +110,14 @@ def test_noun_chunks_of_long_runs(spark):
     assert rows(linguistics.chunk_spans(article)) == [(1, 0, 1, 4, 2), (1, 0, 5, 7, 1)]
 
 
+def test_glued_chunks_of_long_runs(spark):
+    n, sents = long_runs(spark)
+    glued = corpus.glue_spans(linguistics.tagged_rows(sents), linguistics.chunk_spans(sents))
+    by_tag = {(r.doc_id, r.tag, r.n) for r in glued.groupBy("doc_id", "tag").agg(F.count("*").alias("n")).collect()}
+    assert by_tag == {(0, f"{n - 1}np", 1), (1, "IN", n), (1, "0np", 1), (2, "JJ", n), (3, "0np", 2), (3, "1np", 1), (3, "IN", 3), (3, "VBP", 1)}
+    assert rows(glued.where("doc_id = 3 OR doc_id = 0").where("tag LIKE '%np'").selectExpr("doc_id", "pos", "left(token, 10)")) == [(0, 0, "cat_cat_ca"), (3, 0, "cat"), (3, 2, "useful_hat"), (3, 5, "cat")]
+
+
 def test_negatives_and_trainers(spark):
     terms = spark.createDataFrame([(f"t{i}",) for i in range(12)], "term string")
     known = spark.createDataFrame([(f"t{i}", f"t{i + 1}") for i in range(11)], "hypo string, hyper string")
