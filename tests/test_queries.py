@@ -32,3 +32,15 @@ def test_query(spark, con, name):
     names = [d[0] for d in cur.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(_cell(r[names.index(c)]) for c in columns) for r in cur.fetchall())
+
+
+def test_glued_chunks_of_long_runs_against_sql(spark, tmp_path):
+    """The whole query where a chunk is far longer than the stack, beside articles, cue words, empty and missing texts."""
+    n = 20000
+    texts = ["cat " * n, "of " * n + "the cat", "the 2 big cats such as a dog and other useful hats. The\nThe cat, an", "<b>cats</b> including 3.5 dogs", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in QUERIES["glued_chunks"](spark, str(tmp_path)).select("tag", "n", "words").collect()}
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(c.execute(ORACLES["glued_chunks"]).fetchall())
+    assert (f"{n - 1}np", 1, 1) in got and ("IN", n + 1, 2) in got
