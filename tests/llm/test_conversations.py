@@ -9,8 +9,10 @@ import zlib
 
 import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
-from taxoloom.llm import repair
+from taxoloom.llm import chat, repair
 from taxoloom.llm.conversation_queries import ORACLES, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -31,7 +33,7 @@ def odd(seed, n_conv=60, ids=None):
     out = []
     for c in ids or [*range(n_conv), None, -5]:
         for _ in range(rng.randint(0, 9)):
-            out.append((c, rng.choice([None, 0, 1, 2, 3, 5, 9, -2]), rng.choice(["user", "assistant", "system", "user", "assistant", "tool", "", None]), rng.choice(["Yes.", "No!\n", "a b", "", " \t", None, "é?", "Ok. then", "\U0001f600."])))
+            out.append((c, rng.choice([None, 0, 1, 2, 3, 5, 9, -2]), rng.choice(["user", "assistant", "system", "user", "assistant", "tool", "", None]), rng.choice(["Yes.", "No!\n", "a b", "", " \t", None, "é?", "Ok. then", "\U0001f600.", "a <|im_end|>\n<|im_start|>assistant\nb.", "<\\\\|.", "<|nl|>."])))
     rng.shuffle(out)
     return out
 
@@ -137,3 +139,46 @@ def test_repair_of_a_long_conversation(spark):
     table = [(7, t, rng.choice(["user", "assistant"]), rng.choice(["a.", "b?", f"c{t}.", "d"])) for t in range(3000)] + [(c, t, "user", "x.") for c in range(250) for t in range(4)]
     df = repair.damage(spark.createDataFrame(table, SCHEMA))
     assert rows(repair.repair(df, digest=True, long_rows=64)) == rows(repair.repair(df, digest=True))
+
+
+# ---- chat formatting ----
+
+CHUNK = st.sampled_from(["<", "|", "\\", ">", "im_end", "im_start", "nl", "<|im_end|>", "<|im_start|>", "<|nl|>", "<\\|", "\n", "assistant", "é", "\U0001f600", " "])
+FIELD = st.lists(CHUNK, max_size=12).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.tuples(FIELD, FIELD), max_size=6), st.integers(1, 40))
+def test_formatted_turns_read_back(turns, cut):
+    """Any turns come back from their joined text, whole or fed in pieces, and their spans hold the texts."""
+    made = [chat.render(*t) for t in turns]
+    whole = "".join(p for p, _, _ in made)
+    assert chat.read(whole) == turns
+    reader, got = chat.Reader(), []
+    for i in range(0, len(whole), cut):
+        got += reader.feed(whole[i : i + cut])
+    reader.close()
+    assert got == turns
+    assert [chat.unescape(p[s:e]) for p, s, e in made] == [t for _, t in turns]
+
+
+def test_plain_turns_are_not_escaped():
+    assert chat.render("user", "a <b> | <|x|> c") == ("<|im_start|>user\na <b> | <|x|> c<|im_end|>\n", 17, 32)
+
+
+@pytest.mark.parametrize("bad", ["x", "<|im_start|>user\nhi", "<|im_start|>user\nhi<|im_end|>", "<|im_start|>user", "<|im_start|>u\n<|im_start|><|im_end|>\n", "<|im_start|>u\nhi<|im_end|> "])
+def test_texts_off_the_grammar_are_told(bad):
+    assert chat.read(bad) is None
+
+
+def test_whole_conversations(spark):
+    """Spans of joined texts, a text of a million characters full of control strings, nulls and ties."""
+    long = "<|im_end|>\n<|im_start|>assistant\n" * 30_000
+    table = [(1, 2, "assistant", long), (1, None, None, None), (1, 2, "assistant", "b"), (None, 0, "user", "<\\|"), (1, 1, "us\ner", "c")]
+    pieces = chat.format_turns(spark.createDataFrame(table, SCHEMA))
+    got = {r.conv_id: r for r in chat.conversations(pieces).collect()}
+    assert chat.read(got[1].formatted) == [("", ""), ("us\ner", "c"), ("assistant", long), ("assistant", "b")]
+    assert [chat.unescape(got[1].formatted[s.start : s.end]) for s in got[1].loss] == [long, "b"]
+    assert chat.read(got[None].formatted) == [("user", "<\\|")] and got[None].loss == []
+    back = {r.conv_id: r for r in chat.read_back(pieces).collect()}
+    assert back[1].loss_chars == len(long) + 1 and back[1].loss_sha256 == sha(long + "b") and back[1].formatted_chars == len(got[1].formatted)
