@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, repair
+from . import chat, repair, trie
 from ._run import table
 
 
@@ -21,6 +21,10 @@ def op12_chat_format(spark, sf_dir):
     return chat.read_back(pieces[0]).union(chat.read_back(pieces[1]))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def _crc32(text: str) -> str:
     """SQL of the CRC-32 of an ASCII expression."""
     bits = "list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
@@ -69,5 +73,24 @@ SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) |
     sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(length(formatted))::BIGINT AS formatted_chars
 FROM p GROUP BY planted, conv_id
 """
-QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op12_chat_format": op12_chat_format}
-ORACLES: dict[str, str] = {"op11_conversation_repair": REPAIR_SQL, "op12_chat_format": CHAT_SQL}
+_TAKES = _crc32("conv_id::VARCHAR") + " % 4"
+TRIE_SQL = rf"""
+WITH o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, said) AS place FROM o),
+ids AS (SELECT conv_id, {_TAKES} AS h FROM (SELECT DISTINCT conv_id FROM o)),
+rebuilt AS (SELECT i.conv_id, 0 AS own, place, said, text FROM ids i JOIN r ON r.conv_id = i.conv_id - i.conv_id % 20 AND place <= h
+    UNION ALL SELECT i.conv_id, 1, place, said, text FROM ids i JOIN r ON r.conv_id = i.conv_id AND place > h),
+d AS (SELECT *, row_number() OVER w AS depth, list(said) OVER w AS path FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY own, place)),
+p AS (SELECT conv_id, depth, path, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM d UNION ALL SELECT conv_id, 0, []::VARCHAR[], 0 FROM ids),
+n AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * first(words) AS saved FROM p GROUP BY path, depth),
+last AS (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id),
+e AS (SELECT path, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ends FROM last GROUP BY path),
+k AS (SELECT path[:depth - 1] AS path, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+l AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+up AS (SELECT path[:unnest(range(0, depth + 1))] AS path, saved, (n_children = 0)::BIGINT AS leaf FROM l),
+s AS (SELECT path, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM up GROUP BY path)
+SELECT l.conv_id, l.depth::BIGINT AS depth, parent.conv_id AS parent_conv_id, l.n_convs, l.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM l JOIN s USING (path) LEFT JOIN e USING (path) LEFT JOIN n parent ON l.depth > 0 AND parent.depth = l.depth - 1 AND parent.path = l.path[:l.depth - 1]
+"""
+QUERIES = {"op11_conversation_repair": op11_conversation_repair, "op12_chat_format": op12_chat_format, "op13_prefix_trie": op13_prefix_trie}
+ORACLES: dict[str, str] = {"op11_conversation_repair": REPAIR_SQL, "op12_chat_format": CHAT_SQL, "op13_prefix_trie": TRIE_SQL}

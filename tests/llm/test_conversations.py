@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from taxoloom.llm import chat, repair
+from taxoloom.llm import chat, repair, trie
 from taxoloom.llm.conversation_queries import ORACLES, QUERIES
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -182,3 +182,52 @@ def test_whole_conversations(spark):
     assert chat.read(got[None].formatted) == [("user", "<\\|")] and got[None].loss == []
     back = {r.conv_id: r for r in chat.read_back(pieces).collect()}
     assert back[1].loss_chars == len(long) + 1 and back[1].loss_sha256 == sha(long + "b") and back[1].formatted_chars == len(got[1].formatted)
+
+
+# ---- prefix trie ----
+
+
+def brute_trie(table):
+    held = {}
+    for c, t, r, x in table:
+        if c is not None:
+            held.setdefault(c, []).append((t is not None, t or 0, sha(f"{len(r or '')}:{r or ''}{x or ''}"), (r or "", x or "")))
+    turns = {c: [z[3] for z in sorted(v)] for c, v in held.items()}
+    paths = {}
+    for c in turns:
+        h = zlib.crc32(str(c).encode()) % 4
+        base = c - int(abs(c) % 20 * (1 if c >= 0 else -1))
+        paths[c] = tuple(turns.get(base, [])[:h] + turns[c][h:])
+    members = {}
+    for c, p in paths.items():
+        for d in range(len(p) + 1):
+            members.setdefault(p[:d], []).append(c)
+    out = []
+    for node, who in members.items():
+        below = [n for n in members if n[: len(node)] == node]
+        kids = lambda n: sum(len(m) == len(n) + 1 and m[: len(n)] == n for m in members)
+        saved = sum((len(members[n]) - 1) * len(re.findall(r"[^\x20\x09-\x0D]+", n[-1][1])) for n in below if n)
+        ends = ",".join(str(c) for c in sorted(who) if len(paths[c]) == len(node))
+        out.append((min(who), len(node), min(members[node[:-1]]) if node else None, len(who), kids(node), sum(kids(n) == 0 for n in below), saved, sha(ends)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("long_rows", [1 << 16, 4])
+@pytest.mark.parametrize("ids", [None, [*range(0, 45), -3, -20, -21, None], [7] * 3])
+def test_trie_against_brute_force(spark, long_rows, ids):
+    table = odd(8, ids=ids)
+    assert rows(trie.prefix_trie(spark.createDataFrame(table, SCHEMA).repartition(3), long_rows, 2)) == brute_trie(table)
+
+
+def test_trie_of_copies_and_a_deep_chain(spark):
+    """A third of all conversations are one text, one conversation is a chain of 600 turns that another leaves half way."""
+    table = [(c, t, "user", f"w{t} x") for c in range(0, 4000, 20) for t in range(3)]
+    pair = [c for c in range(5001, 6000, 20) if zlib.crc32(str(c).encode()) % 4 == 0][:2]  # nothing is lent to these
+    table += [(c, t, "user", f"{t} {c}" if t > 300 else f"{t}") for c in pair for t in range(600)]
+    got = rows(trie.prefix_trie(spark.createDataFrame(table, SCHEMA), 100))
+    assert got == rows(trie.prefix_trie(spark.createDataFrame(table, SCHEMA)))
+    sums = {r[:2]: r for r in got}
+    assert sums[(0, 0)][3] == 202 and sums[(0, 0)][5] == 3
+    assert sums[(0, 3)][7] == sha(",".join(map(str, range(0, 4000, 20))))
+    depths = [r[1] for r in got if r[3] == 2]
+    assert max(depths) == len(depths) == sums[(pair[0], 1)][6] == 301
