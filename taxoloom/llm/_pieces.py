@@ -85,7 +85,11 @@ def split_words(codes: np.ndarray, offsets: np.ndarray):
 
 
 class PieceTable:
-    """Token ids of every piece met so far, by the piece's hash. At ``limit`` pieces it starts anew."""
+    """Token ids of every piece met so far. At ``limit`` pieces it starts anew.
+
+    Hashes only bring equal pieces together: each one's characters are compared with those of the piece whose ids it
+    gets, and a piece that shares another's hash has its row by its characters.
+    """
 
     def __init__(self, encode, limit: int = 700_000):
         self.encode, self.limit = encode, limit
@@ -93,6 +97,8 @@ class PieceTable:
 
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
+        self.odd: dict[str, int] = {}
+        self.pieces: list[str] = []
         self.flat = np.zeros(1 << 16, np.int32)
         self.offsets = np.zeros(1 << 14, np.int64)
         self.extra: list = []
@@ -102,20 +108,27 @@ class PieceTable:
         if not len(starts):
             return np.zeros(0, np.int64)
         hashes, where, inverse = np.unique(slice_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        if len(self.rows) + len(hashes) > self.limit and self.rows:
+        if len(self.pieces) + len(hashes) > self.limit and self.pieces:
             self.clear()
         rows = np.fromiter(map(self.rows.get, hashes.tolist(), [-1] * len(hashes)), np.int64, len(hashes))
-        missing = np.nonzero(rows < 0)[0]
-        if len(missing):
-            picks = where[missing]
-            new_codes, lengths = _slices(codes, starts[picks], ends[picks])
-            text = new_codes.tobytes().decode("utf-32-le", "surrogatepass")
-            cuts = np.concatenate(([0], np.cumsum(lengths))).tolist()
-            for j, a, b in zip(missing.tolist(), cuts, cuts[1:], strict=False):
-                rows[j] = self._add(int(hashes[j]), text[a:b])
-        return rows[inverse]
-
-    def _add(self, key: int, piece: str) -> int:
+        for j, piece in enumerate(_texts(codes, starts[where], ends[where])):
+            if rows[j] < 0:
+                rows[j] = self.rows[int(hashes[j])] = self._add(piece)
+            elif self.pieces[rows[j]] != piece:
+                rows[j] = self._odd(piece)
+        out = rows[inverse]
+        other = np.nonzero(~_equal(codes, starts, ends, starts[where][inverse], ends[where][inverse]))[0]
+        for i, piece in zip(other.tolist(), _texts(codes, starts[other], ends[other]), strict=True):
+            out[i] = self._odd(piece)
+        return out
+
+    def _odd(self, piece: str) -> int:
+        row = self.odd.get(piece)
+        if row is None:
+            row = self.odd[piece] = self._add(piece)
+        return row
+
+    def _add(self, piece: str) -> int:
         ids, extra = self.encode(piece)
         row = len(self.extra)
         if row + 2 > len(self.offsets):
@@ -126,10 +139,35 @@ class PieceTable:
         self.flat[at : at + len(ids)] = ids
         self.offsets[row + 1] = at + len(ids)
         self.extra.append(extra)
-        self.rows[key] = row
+        self.pieces.append(piece)
         return row
 
 
+def _texts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+    """The slices as strings."""
+    flat, lengths = _slices(codes, starts, ends)
+    text = flat.tobytes().decode("utf-32-le", "surrogatepass")
+    cuts = np.concatenate(([0], np.cumsum(lengths))).tolist()
+    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+def _equal(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+    """Whether the slices from ``starts`` and ``others`` hold the same characters; lengths are taken one by one."""
+    lengths = ends - starts
+    same = lengths == other_ends - others
+    open_ = np.nonzero(same & (starts != others))[0]
+    open_ = open_[np.argsort(lengths[open_], kind="stable")]
+    kinds, first = np.unique(lengths[open_], return_index=True)
+    for n, a, b in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(open_)]):
+        rows = open_[a:b]
+        view = np.lib.stride_tricks.sliding_window_view(codes, n)
+        step = max(1, (1 << 20) // n)
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            same[part] = (view[starts[part]] == view[others[part]]).all(1)
+    return same
+
+
 def _slices(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     stops = np.cumsum(lengths)

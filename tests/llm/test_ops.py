@@ -677,3 +677,45 @@ def test_hot_keys_join_like_others(spark):
     assert facts.df.where("many * 1000 > 6000").count() and facts.df.where("many * 1000 <= 6000").count()
     got = join_counted(rows, facts.df, ["w"], 6000)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.join(facts.df, ["w"]).collect()))
+
+
+# ---- pieces whose hashes collide ----
+
+
+def thue_morse(n):
+    word = "ab"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_colliding_pieces_have_their_own_ids(spark, n):
+    """Words that a polynomial hash modulo 2**64 can't tell apart, in one batch, in two and after each other."""
+    word = thue_morse(n)
+    other = word.translate(str.maketrans("ab", "ba"))
+    texts = [word, other, f"{other} {word} {other}", "ab", word]
+    df = spark.createDataFrame(list(enumerate(texts)), TEXT).coalesce(1)
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    library.no_padding()
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [r.ids for r in bpe.encode_decode(df, WORD).orderBy("doc_id").collect()]
+    assert got == want
+    pieces = packing.pack(df, BYTE).orderBy("doc_id", "start").collect()
+    library = Tokenizer.from_file(BYTE)
+    for i, t in enumerate(texts):
+        ids = np.array([*library.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        assert [r.ids_crc32 for r in pieces if r.doc_id == i] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in pieces if r.doc_id == i]
+
+
+def test_equal_hashes_never_share_a_row(monkeypatch):
+    """Every piece has the same hash here; rows still follow the characters."""
+    from taxoloom.llm import _pieces
+
+    monkeypatch.setattr(_pieces, "slice_hashes", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    table = _pieces.PieceTable(lambda piece: ([len(piece)], piece))
+    codes = np.frombuffer("abaabbaab".encode("utf-32-le"), np.uint32)
+    starts, ends = np.array([0, 2, 5, 5, 0, 6]), np.array([2, 4, 6, 7, 1, 8])
+    for _ in range(2):
+        assert [table.extra[r] for r in table.lookup(codes, starts, ends)] == ["ab", "aa", "b", "ba", "a", "aa"]
