@@ -1,7 +1,8 @@
 """From raw text to analysed sentences, noun-phrase spans, term candidates and relations.
 
-A tagger is any function from a list of words to a list of (tag, lemma, is_stop); it runs in Arrow batches.
-Without one, tags follow rules of closed word classes and word endings, as column expressions only.
+A tagger is any function from a list of words to a list of (tag, lemma, is_stop); it runs in Arrow batches, and where
+it has ``many``, once for all sentences of a batch. ``tagging.learn`` makes one from an analysed corpus. Without one,
+tags follow rules of closed word classes and word endings, as column expressions only.
 """
 
 from __future__ import annotations
@@ -82,12 +83,15 @@ def tag(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", id_co
         each = lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("token"), rule_tag(w).alias("tag"), rule_lemma(w, rule_tag(w)).alias("lemma"), rule_stop(w).alias("is_stop"))
         return sents.select("doc_id", "sent_id", F.transform("words", each).alias("words"))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string()), ("tag", pa.string()), ("lemma", pa.string()), ("is_stop", pa.bool_())]))
+    shared = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches):
+        tagger = shared.value
+        many = getattr(tagger, "many", lambda sents: [tagger(words) for words in sents])
         for b in batches:
             out = []
-            for words in b.column(2).to_pylist():
-                got = tagger(words)
+            sents = b.column(2).to_pylist()
+            for words, got in zip(sents, many(sents), strict=True):
                 out.append([{"pos": i, "token": w, "tag": t, "lemma": m, "is_stop": s} for i, (w, (t, m, s)) in enumerate(zip(words, got, strict=True))])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, kind)], ["doc_id", "sent_id", "words"])
 

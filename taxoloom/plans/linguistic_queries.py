@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, linguistics
+from ..operators import corpus, frequencies, linguistics, tagging
 from .registry import query, table
 
 _CLOSED = " ".join(f"WHEN low IN ({', '.join(repr(w) for w in words.split())}) THEN '{t}'" for t, words in linguistics.CLOSED.items())
@@ -75,6 +75,40 @@ def glued_chunks(spark, sf):
     return corpus.glue_spans(linguistics.tagged_rows(sents), linguistics.chunk_spans(sents)).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("token").alias("words"))
 
 
+@query(
+    "noun_filter_tfidf",
+    f"""WITH {TAGGED}, t AS (SELECT doc_id, lemma AS term, count(*) AS tf FROM tagged WHERE tag LIKE 'N%' GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
+    SELECT doc_id, term AS term_id, tf, round(tf * ln(n / count(*) OVER (PARTITION BY term)), 6) AS tfidf FROM t, nd""",
+)
+def noun_filter_tfidf(spark, sf):
+    """Weights of the lemmas whose tag starts with N."""
+    nouns = linguistics.tagged_rows(tagged(spark, sf)).where(F.col("tag").startswith("N")).select("doc_id", F.col("lemma").alias("term_id"))
+    out = frequencies.tf_idf(frequencies.term_frequency(nouns), table(spark, sf, "documents"))
+    return out.withColumn("tfidf", F.round("tfidf", 6))
+
+
+@query("tagger_words", f"WITH {TAGGED} SELECT token, tag, lemma, count(*) AS n FROM tagged GROUP BY ALL")
+def tagger_words(spark, sf):
+    """What a tagger learns from each word."""
+    return tagging.word_counts(tagged(spark, sf))
+
+
+@query(
+    "tagger_transitions",
+    f"""WITH {TAGGED}, e AS (SELECT doc_id, sent_id, pos, tag FROM tagged UNION ALL SELECT doc_id, sent_id, max(pos) + 1, '^' FROM tagged GROUP BY ALL)
+    SELECT before, tag, count(*) AS n FROM (SELECT coalesce(lag(tag) OVER (PARTITION BY doc_id, sent_id ORDER BY pos), '^') AS before, tag FROM e) GROUP BY ALL""",
+)
+def tagger_transitions(spark, sf):
+    """What it learns from neighbours."""
+    return tagging.transitions(tagged(spark, sf))
+
+
+@query("tagger_viterbi")
+def tagger_viterbi(spark, sf):
+    """All documents tagged by a model that learned from the sentences of all; tests compare it with every path of tags."""
+    return linguistics.tagged_rows(linguistics.tag(table(spark, sf, "documents"), tagging.learn(tagged(spark, sf)))).groupBy("tag", "lemma").agg(F.count("*").alias("n"))
+
+
 #: Sentences of the four kinds over the parts' own words, each with one relation.
 _KIND = "p_partkey % 4"
 _PARTS = """part_words AS (SELECT p_partkey AS doc_id, string_split(p_name, ' ') AS w, string_split(lower(p_type), ' ') AS t FROM part)"""

@@ -129,19 +129,6 @@ def lemma_counts(spark, sf):
     return words(spark, sf).groupBy(F.lower("word").alias("lemma")).agg(F.count("*").alias("n"))
 
 
-@query(
-    "noun_filter_tfidf",
-    f"""WITH {CORPUS}, t AS (SELECT doc_id, lower(word) AS term, count(*) AS tf FROM corpus WHERE upper(left(word, 1)) = left(word, 1) AND lower(left(word, 1)) <> left(word, 1) GROUP BY ALL),
-    nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents) SELECT doc_id, term AS term_id, tf, round(tf * ln(n / count(*) OVER (PARTITION BY term)), 6) AS tfidf FROM t, nd""",
-)
-def noun_filter_tfidf(spark, sf):
-    # The tables have no tags: a capital letter stands for a noun tag.
-    c = F.substring("word", 1, 1)
-    nouns = words(spark, sf).where((F.upper(c) == c) & (F.lower(c) != c)).select("doc_id", F.lower("word").alias("term_id"))
-    out = frequencies.tf_idf(frequencies.term_frequency(nouns), table(spark, sf, "documents"))
-    return out.withColumn("tfidf", F.round("tfidf", 6))
-
-
 @query("corpus_split", "SELECT doc_id, floor(doc_id * 4 / (top + 1))::BIGINT AS part FROM documents, (SELECT max(doc_id) AS top FROM documents)")
 def corpus_split(spark, sf):
     return corpus.split_parts(table(spark, sf, "documents"), 4)
