@@ -74,6 +74,19 @@ def glue_spans(tagged: DataFrame, spans: DataFrame) -> DataFrame:
     )
 
 
+def glue_ids(corpus_idx: DataFrame, spans: DataFrame) -> DataFrame:
+    """doc_id, sent_id, pos, id, is_term: ids of each span (doc_id, sent_id, start, end) joined by ``_``, the others as they are.
+
+    A span of one word is a term, too. Positions are counted anew within the sentence.
+    """
+    inside = spans.select("doc_id", "sent_id", "start", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    rows = corpus_idx.join(inside, ["doc_id", "sent_id", "pos"], "left").withColumn("at", F.coalesce("start", "pos"))
+    held = F.array_sort(F.collect_list(F.struct("pos", F.col("term_id").cast("string").alias("id"))))
+    glued = rows.groupBy("doc_id", "sent_id", "at").agg(F.array_join(F.transform(held, lambda x: x["id"]), "_").alias("id"), F.max(F.col("start").isNotNull()).alias("is_term"))
+    order = Window.partitionBy("doc_id", "sent_id").orderBy("at")
+    return glued.select("doc_id", "sent_id", (F.row_number().over(order) - 1).alias("pos"), "id", "is_term")
+
+
 def split_parts(docs: DataFrame, parts: int) -> DataFrame:
     """Number of the chunk of consecutive documents that each one falls in."""
     total = docs.agg(F.max("doc_id").alias("top"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
-from ..functions.text import head_lemma, tag_string
+from ..functions.text import head_lemma
 
 
 def sentences(tagged: DataFrame) -> DataFrame:
@@ -16,27 +16,33 @@ def sentences(tagged: DataFrame) -> DataFrame:
 
 
 def chunk_relations(sents: DataFrame, level: str = "t", all_hyponyms: bool = False) -> DataFrame:
-    """doc_id, sent_id, hyper, hypo over glued noun phrases; level t takes tokens, l head-lemma forms."""
-    found = P.matches(sents.select("doc_id", "sent_id", "words", tag_string(F.col("words")).alias("tags")), F.col("tags"))
-    pairs = P.chunk_pairs(found, all_hyponyms)
+    """doc_id, sent_id, hyper, hypo over glued noun phrases; level t takes tokens, l head-lemma forms.
 
-    def form(position: str):
-        w = F.element_at("words", F.col(position) + 1)
+    The list's members count only with ``all_hyponyms``.
+    """
+    found = P.matches(sents)
+    pairs = found.withColumn("_h", F.explode(F.concat(F.array("hypo"), "hypos") if all_hyponyms else F.array("hypo")))
+
+    def form(place: str):
+        w = F.element_at("words", F.col(f"{place}.start") + 1)
         token = F.lower(w["token"])
         if level == "t":
             return token
         return head_lemma(token, F.lower(w["lemma"]), F.regexp_extract(w["tag"], r"^(\d+)", 1).cast("int"))
 
-    return pairs.select("doc_id", "sent_id", form("hyper_pos").alias("hyper"), form("hypo_pos").alias("hypo"))
+    return pairs.select("doc_id", "sent_id", form("hyper").alias("hyper"), form("_h").alias("hypo"))
 
 
 def word_relations(sents: DataFrame) -> DataFrame:
     """doc_id, sent_id, hyper, hypo over noun phrases of single tagged words; all listed hyponyms count."""
-    found = P.matches(sents.select("doc_id", "sent_id", "words", tag_string(F.col("words")).alias("tags")), F.col("tags"), P.WORD_NP)
-    listed = F.filter(F.split(F.coalesce("hypos", F.lit("")), r",\d+"), lambda x: F.trim(x) != "")
-    rows = found.withColumn("_h", F.explode(F.concat(F.array("hypo"), listed)))
-    lemmas = lambda g: F.array_join(F.transform(P.word_positions(g), lambda i: F.element_at("words", i + 1)["lemma"]), " ")
-    return rows.select("doc_id", "sent_id", lemmas(F.col("hyper")).alias("hyper"), lemmas(F.col("_h")).alias("hypo")).where("hypo <> ''")
+    rows = P.matches(sents, P.word_symbols).withColumn("_h", F.explode(F.concat(F.array("hypo"), "hypos")))
+    lemmas = lambda g: F.array_join(F.transform(F.slice("words", g["start"] + 1, g["end"] - g["start"]), lambda w: w["lemma"]), " ")
+    return rows.select("doc_id", "sent_id", lemmas(F.col("hyper")).alias("hyper"), lemmas(F.col("_h")).alias("hypo"))
+
+
+def glued(relations: DataFrame) -> DataFrame:
+    """The words of both sides joined by ``_``."""
+    return relations.withColumns({c: F.translate(c, " ", "_") for c in ("hyper", "hypo")})
 
 
 def multimap(relations: DataFrame) -> DataFrame:

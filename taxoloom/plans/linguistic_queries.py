@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import corpus, frequencies, linguistics, tagging
+from ..functions import text as X
+from ..operators import corpus, frequencies, linguistics, relations, tagging
 from .registry import query, table
 
 _CLOSED = " ".join(f"WHEN low IN ({', '.join(repr(w) for w in words.split())}) THEN '{t}'" for t, words in linguistics.CLOSED.items())
@@ -75,6 +76,71 @@ def glued_chunks(spark, sf):
     return corpus.glue_spans(linguistics.tagged_rows(sents), linguistics.chunk_spans(sents)).groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("token").alias("words"))
 
 
+#: Documents with noun chunks glued: their words in new places.
+GLUED = rf"""{TAGGED}, m AS (SELECT doc_id, sent_id, tok, unnest(regexp_extract_all(cued, '(DT[0-9]+ )?((JJ[RS]?|NN[PS]?[PS]?|CD)[0-9]+ )*NN[PS]?[PS]?[0-9]+')) AS m FROM strings),
+    p AS (SELECT doc_id, sent_id, tok, list_transform(regexp_extract_all(m, '[0-9]+'), lambda x: x::INT) AS a FROM m),
+    q AS (SELECT doc_id, sent_id, a[1] + (tok[a[1] + 1] IN ('a', 'A', 'an', 'An', 'the', 'The'))::INT AS s, a[-1] + 1 AS e FROM p),
+    i AS (SELECT doc_id, sent_id, s, e - 1 - s AS root, unnest(range(s, e)) AS pos FROM q WHERE s < e),
+    glued AS (SELECT doc_id, sent_id, (row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY place) - 1)::INT AS pos, token, tag, lemma, root FROM
+      (SELECT doc_id, sent_id, coalesce(s, t.pos) AS place, string_agg(token, '_' ORDER BY t.pos) AS token, coalesce(max(root) || 'np', min(tag)) AS tag, string_agg(lemma, '_' ORDER BY t.pos) AS lemma, max(root) AS root FROM tagged t LEFT JOIN i USING (doc_id, sent_id, pos) GROUP BY ALL))"""
+
+
+def glued(spark, sf):
+    sents = tagged(spark, sf)
+    return corpus.glue_spans(linguistics.tagged_rows(sents), linguistics.chunk_spans(sents))
+
+
+@query("np_concat", f"WITH {GLUED} SELECT doc_id, sent_id::INT AS sent_id, pos, token, tag, lemma FROM glued")
+def np_concat(spark, sf):
+    return glued(spark, sf).select("doc_id", "sent_id", "pos", "token", "tag", "lemma")
+
+
+@query("np_positions", f"WITH {GLUED} SELECT doc_id, sent_id::INT AS sent_id, pos, root::INT AS head FROM glued WHERE root IS NOT NULL AND lemma NOT IN ('such', 'as', 'and', 'or', 'other', 'including', 'especially')")
+def np_positions(spark, sf):
+    """Places and head offsets of the glued noun phrases."""
+    s = relations.sentences(glued(spark, sf)).select("doc_id", "sent_id", F.explode(X.np_positions(F.col("words"))).alias("x"))
+    return s.select("doc_id", "sent_id", "x.pos", "x.head")
+
+
+@query("tag_strings", f"WITH {TAGGED} SELECT doc_id, sent_id::INT AS sent_id, cued AS tags FROM strings")
+def tag_strings(spark, sf):
+    return tagged(spark, sf).select("doc_id", "sent_id", X.tag_string(F.col("words")).alias("tags"))
+
+
+@query(
+    "lemma_tag_strings",
+    f"WITH {TAGGED} SELECT doc_id, sent_id::INT AS sent_id, string_agg(CASE WHEN lemma IN ('such', 'as', 'and', 'or', 'other', 'including', 'especially') THEN lemma ELSE tag || pos END, ' ' ORDER BY pos) AS tags FROM tagged GROUP BY doc_id, sent_id",
+)
+def lemma_tag_strings(spark, sf):
+    return tagged(spark, sf).select("doc_id", "sent_id", X.tag_string(F.col("words"), "lemma").alias("tags"))
+
+
+@query(
+    "strip_article",
+    f"WITH {TAGGED} SELECT doc_id, sent_id::INT AS sent_id, art::INT AS start, 1 - art::INT AS root FROM (SELECT doc_id, sent_id, tok[1] IN ('a', 'A', 'an', 'An', 'the', 'The') AS art FROM strings WHERE len(tok) > 1)",
+)
+def strip_article(spark, sf):
+    """The first two words of every sentence as a span, less a leading article."""
+    s = tagged(spark, sf).where(F.size("words") > 1).withColumn("span", X.drop_article(F.col("words"), F.lit(0), F.lit(2), F.lit(1)))
+    return s.select("doc_id", "sent_id", "span.start", "span.root")
+
+
+@query(
+    "glued_ids",
+    rf"""WITH {TAGGED}, vocab AS (SELECT lemma, row_number() OVER (ORDER BY min((doc_id, sent_id, pos))) - 1 AS id FROM tagged GROUP BY lemma),
+    x AS (SELECT doc_id, sent_id, unnest(regexp_extract_all(tags, '((JJ[RS]?[RS]?|NN[PS]?[PS]?|IN|VBN|VBG)[0-9]+ )*NN[PS]?[PS]?[0-9]+')) AS m FROM strings),
+    y AS (SELECT doc_id, sent_id, list_transform(regexp_extract_all(m, '[0-9]+'), lambda x: x::INT) AS a FROM x), z AS (SELECT doc_id, sent_id, a[1] AS s, unnest(range(a[1], a[-1] + 1)) AS pos FROM y)
+    SELECT doc_id, sent_id::INT AS sent_id, (row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY place) - 1)::INT AS pos, id, is_term FROM
+    (SELECT doc_id, sent_id, coalesce(s, t.pos) AS place, string_agg(id::VARCHAR, '_' ORDER BY t.pos) AS id, max(s) IS NOT NULL AS is_term FROM tagged t JOIN vocab USING (lemma) LEFT JOIN z USING (doc_id, sent_id, pos) GROUP BY ALL)""",
+)
+def glued_ids(spark, sf):
+    """Lemma ids of whole documents, term spans glued and marked."""
+    sents = tagged(spark, sf)
+    lemmas = linguistics.tagged_rows(sents).select("doc_id", "sent_id", "pos", F.col("lemma").alias("word"))
+    spans = linguistics.term_spans(sents).select("doc_id", "sent_id", F.element_at("at", 1).alias("start"), (F.element_at("at", -1) + 1).alias("end"))
+    return corpus.glue_ids(corpus.encode(lemmas, corpus.vocabulary(lemmas)), spans)
+
+
 @query(
     "noun_filter_tfidf",
     f"""WITH {TAGGED}, t AS (SELECT doc_id, lemma AS term, count(*) AS tf FROM tagged WHERE tag LIKE 'N%' GROUP BY ALL), nd AS (SELECT count(DISTINCT doc_id) AS n FROM documents)
@@ -143,3 +209,64 @@ def relations_from_some_text(spark, sf):
     """The same with the driver's limits, which are the feature: a first id and a number of documents."""
     found, _ = linguistics.extract(parts_text(spark, sf), start=20, max_docs=100)
     return found.select("doc_id", "hyper", "hypo")
+
+
+def listed_text(spark, sf):
+    """Every line of a document with four words or more, worded as one of four kinds of lists of its first words."""
+    found = lambda line: F.transform(F.slice(F.regexp_extract_all(line, F.lit("[a-z]{3,}"), F.lit(0)), 1, 4), lambda w: F.concat(w, F.lit("x")))
+
+    def said(w, k):
+        a, b, c, d = w[0], w[1], w[2], w[3]
+        out = F.when(k == 0, F.concat(F.lit("The "), a, F.lit(" such as "), b, F.lit(" , "), c, F.lit(" and "), d, F.lit(" .")))
+        out = out.when(k == 1, F.concat(F.lit("such "), a, F.lit(" as "), b, F.lit(" or "), c, F.lit(" .")))
+        out = out.when(k == 2, F.concat(a, F.lit(" , "), b, F.lit(" , "), c, F.lit(" and other "), d, F.lit(" .")))
+        return F.when(F.size(w) == 4, out.otherwise(F.concat(a, F.lit(" , especially "), b, F.lit(" , "), c, F.lit(" ."))))
+
+    docs = table(spark, sf, "documents")
+    lines = F.transform(F.split("text", "\n"), lambda line, i: said(found(line), (F.col("doc_id") + i) % 4))
+    return docs.select("doc_id", F.array_join(F.filter(lines, lambda x: x.isNotNull()), "\n").alias("text"))
+
+
+_LISTED = """l AS (SELECT doc_id, i, regexp_extract_all(lines[i + 1], '[a-z]{3,}')[1:4] AS w FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents), LATERAL (SELECT unnest(range(0, len(lines))) AS i)),
+f AS (SELECT doc_id, (doc_id + i) % 4 AS k, w[1] || 'x' AS a, w[2] || 'x' AS b, w[3] || 'x' AS c, w[4] || 'x' AS d FROM l WHERE len(w) = 4)"""
+
+
+@query(
+    "hearst_chunk",
+    f"WITH {_LISTED} SELECT doc_id, CASE k WHEN 2 THEN d ELSE a END AS hyper, unnest(CASE k WHEN 0 THEN [b, c, d] ELSE [b, c] END) AS hypo FROM f",
+)
+def hearst_chunk(spark, sf):
+    """All listed hyponyms; two at most before "other"."""
+    return linguistics.extract(listed_text(spark, sf), all_hyponyms=True)[0].select("doc_id", "hyper", "hypo")
+
+
+@query("hearst_last", f"WITH {_LISTED} SELECT doc_id, CASE k WHEN 2 THEN d ELSE a END AS hyper, CASE k WHEN 0 THEN d WHEN 2 THEN b ELSE c END AS hypo FROM f")
+def hearst_last(spark, sf):
+    """Only the phrase at a list's end, as head-lemma forms."""
+    return linguistics.extract(listed_text(spark, sf), level="l")[0].select("doc_id", "hyper", "hypo")
+
+
+@query(
+    "hearst_pos",
+    """WITH w AS (SELECT p_partkey AS doc_id, string_split(p_name, ' ') AS w, replace(lower(p_type), ' ', '') || 'kind' AS t FROM part),
+    p AS (SELECT doc_id, t, w[1] || 'x' AS a, w[-1] || 'x' AS b FROM w)
+    SELECT doc_id, t AS hyper, unnest(CASE doc_id % 4 WHEN 0 THEN [a || ' ' || b, a || ' ' || b, b || ' ' || a] WHEN 1 THEN [a, b] ELSE [a || ' ' || b, b || ' ' || a] END) AS hypo FROM p""",
+)
+def hearst_pos(spark, sf):
+    """Phrases of tagged words over every part's name, from raw text; a last phrase without a conjunction gives its last noun."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.split("p_name", " ").alias("w"), F.concat(F.translate(F.lower("p_type"), " ", ""), F.lit("kind")).alias("t"))
+    a, b = F.concat(F.element_at("w", 1), F.lit("x")), F.concat(F.element_at("w", -1), F.lit("x"))
+    x, y, kind = F.concat_ws(" ", a, b), F.concat_ws(" ", b, a), F.col("doc_id") % 4
+    text = F.when(kind == 0, F.concat(F.lit("The "), "t", F.lit(" such as "), x, F.lit(" , "), y, F.lit(" and "), x, F.lit(" .")))
+    text = text.when(kind == 1, F.concat(F.lit("such "), "t", F.lit(" as "), x, F.lit(" .")))
+    text = text.when(kind == 2, F.concat(x, F.lit(" , "), y, F.lit(" , and other "), "t", F.lit(" .")))
+    docs = p.select("doc_id", text.otherwise(F.concat("t", F.lit(" , including "), x, F.lit(" and "), y, F.lit(" ."))).alias("text"))
+    return relations.word_relations(linguistics.tag(docs)).select("doc_id", "hyper", "hypo")
+
+
+@query(
+    "glued_relations",
+    "SELECT p_partkey AS doc_id, replace(p_type, ' ', '_') AS hyper, replace(p_name, ' ', '_') AS hypo FROM part",
+)
+def glued_relations(spark, sf):
+    return relations.glued(table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_type").alias("hyper"), F.col("p_name").alias("hypo")))

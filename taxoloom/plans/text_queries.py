@@ -218,70 +218,6 @@ def term_filter(spark, sf):
     return terms.select_terms(cval, best)
 
 
-# ---- literal fixtures for the linguistic operators ----
-
-TAGGED = [
-    (1, 0, "dogs such as poodles , beagles and huskies", "0np such as 0np , 0np and 0np"),
-    (2, 0, "such animals as cats , lynxes or tigers", "such 0np as 0np , 0np or 0np"),
-    (3, 0, "poodles , beagles and other big_dogs", "0np , 0np and other 1np"),
-    (4, 0, "big_cats , including lynxes and tigers", "1np , including 0np and 0np"),
-    (5, 0, "the methods work", "DT 0np VBP"),
-    (6, 0, "fast graph methods such as search trees , hash tables and sorts", "JJ NN NNS such as NN NNS , NN NNS and NNS"),
-]
-
-
-def _values() -> str:
-    return ", ".join(f"({d}, {s}, '{w}', '{t}')" for d, s, w, t in TAGGED)
-
-
-TAGGED_SQL = f"""
-raw(doc_id, sent_id, line, tags) AS (VALUES {_values()}),
-tagged AS (SELECT doc_id, sent_id, i - 1 AS pos, w[i] AS token, t[i] AS tag, regexp_replace(w[i], 's$', '') AS lemma FROM (SELECT *, string_split(line, ' ') AS w, string_split(tags, ' ') AS t FROM raw), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i)),
-ts AS (SELECT doc_id, sent_id, string_agg(CASE WHEN token IN ('such', 'as', 'and', 'or', 'other', 'including', 'especially') THEN token ELSE tag || pos END, ' ' ORDER BY pos) AS tags, list(token ORDER BY pos) AS tok, list(lemma ORDER BY pos) AS lem FROM tagged GROUP BY ALL)
-"""
-
-
-def tagged(spark):
-    """The fixture as a tagged table; a final s is no part of a lemma."""
-    raw = spark.sql(f"SELECT * FROM VALUES {_values()} AS t(doc_id, sent_id, line, tags)")
-    rows = raw.select("doc_id", "sent_id", F.posexplode(F.arrays_zip(F.split("line", " ").alias("w"), F.split("tags", " ").alias("t"))).alias("pos", "x"))
-    return rows.select("doc_id", "sent_id", "pos", F.col("x.w").alias("token"), F.col("x.t").alias("tag"), F.regexp_replace("x.w", "s$", "").alias("lemma"), F.lit(False).alias("is_stop"))
-
-
-@query("tag_strings", f"WITH {TAGGED_SQL} SELECT doc_id, tags FROM ts")
-def tag_strings(spark, sf):
-    return relations.sentences(tagged(spark)).select("doc_id", X.tag_string(F.col("words")).alias("tags"))
-
-
-def _hearst_sql(np: str, form) -> str:
-    parts = []
-    for pattern, hyper, hypos, hypo in P.patterns(np).values():
-        get = lambda g, p=pattern: f"unnest(regexp_extract_all(tags, '{p}', {g}))"
-        parts.append(f"SELECT doc_id, tok, lem, {get(hyper)} AS hyper, {get(hypos)} AS hypos, {get(hypo)} AS hypo FROM ts")
-    return f"WITH {TAGGED_SQL}, m AS ({' UNION ALL '.join(parts)}) {form}"
-
-
-@query(
-    "hearst_chunk",
-    _hearst_sql(P.CHUNK_NP, "SELECT doc_id, lower(tok[regexp_extract(hyper, 'np(\\d+)$', 1)::INT + 1]) AS hyper, lower(tok[regexp_extract(hypo, 'np(\\d+)$', 1)::INT + 1]) AS hypo FROM m"),
-)
-def hearst_chunk(spark, sf):
-    return relations.chunk_relations(relations.sentences(tagged(spark))).select("doc_id", "hyper", "hypo")
-
-
-@query(
-    "hearst_pos",
-    _hearst_sql(
-        P.WORD_NP,
-        """, h AS (SELECT doc_id, lem, hyper, unnest(list_concat([hypo], list_filter(string_split_regex(coalesce(hypos, ''), ',\\d+'), lambda x: trim(x) <> ''))) AS hypo FROM m)
-        SELECT doc_id, array_to_string(list_transform(regexp_extract_all(hyper, '[A-Z]+(\\d+)', 1), lambda i: lem[i::INT + 1]), ' ') AS hyper,
-               array_to_string(list_transform(regexp_extract_all(hypo, '[A-Z]+(\\d+)', 1), lambda i: lem[i::INT + 1]), ' ') AS hypo FROM h""",
-    ),
-)
-def hearst_pos(spark, sf):
-    return relations.word_relations(relations.sentences(tagged(spark))).select("doc_id", "hyper", "hypo")
-
-
 REL = "rel AS (SELECT c_mktsegment AS hyper, n_name AS hypo FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 
 
@@ -321,36 +257,6 @@ def lemma_head_form(spark, sf):
     return p.select("term", X.head_lemma(F.col("term"), F.col("l"), F.col("head")).alias("lemma_form"))
 
 
-SPANS = [(6, 0, 0, 3, 2), (6, 0, 5, 7, 1), (6, 0, 8, 10, 1), (5, 0, 0, 2, 1)]
-
-
-@query(
-    "np_concat",
-    f"""WITH {TAGGED_SQL}, sp(doc_id, sent_id, s, e, root) AS (VALUES {", ".join(map(str, SPANS))}),
-    j AS (SELECT t.*, coalesce(s, pos) AS place, root FROM tagged t LEFT JOIN sp ON sp.doc_id = t.doc_id AND sp.sent_id = t.sent_id AND pos >= s AND pos < e)
-    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place) - 1)::INT AS pos, string_agg(token, '_' ORDER BY pos) AS token, CASE WHEN max(root) IS NULL THEN min(tag) ELSE max(root) || 'np' END AS tag,
-           string_agg(lemma, '_' ORDER BY pos) AS lemma FROM j GROUP BY doc_id, place""",
-)
-def np_concat(spark, sf):
-    spans = spark.sql(f"SELECT * FROM VALUES {', '.join(map(str, SPANS))} AS t(doc_id, sent_id, start, end, root)")
-    return corpus.glue_spans(tagged(spark), spans).select("doc_id", "pos", "token", "tag", "lemma")
-
-
-@query("strip_article", f"WITH {TAGGED_SQL} SELECT doc_id, tok[1] AS first, CASE WHEN tok[1] IN ('a', 'A', 'an', 'An', 'the', 'The') THEN 1 ELSE 0 END AS start, CASE WHEN tok[1] IN ('a', 'A', 'an', 'An', 'the', 'The') THEN 0 ELSE 1 END AS root FROM ts")
-def strip_article(spark, sf):
-    s = relations.sentences(tagged(spark)).withColumn("span", X.drop_article(F.col("words"), F.lit(0), F.lit(2), F.lit(1)))
-    return s.select("doc_id", F.col("words")[0]["token"].alias("first"), "span.start", "span.root")
-
-
-@query(
-    "np_positions",
-    f"""WITH {TAGGED_SQL} SELECT doc_id, pos::INT AS pos, regexp_extract(tag, '^(\\d+)', 1)::INT AS head FROM tagged WHERE regexp_matches(tag, '^\\d+np$') AND lemma NOT IN ('such', 'as', 'and', 'or', 'other', 'including', 'especially')""",
-)
-def np_positions(spark, sf):
-    s = relations.sentences(tagged(spark)).select("doc_id", F.explode(X.np_positions(F.col("words"))).alias("x"))
-    return s.select("doc_id", "x.pos", "x.head")
-
-
 @query(
     "compound_lookup",
     f"""WITH {VOCAB}, t AS (SELECT DISTINCT lower(p_name) AS n FROM part UNION SELECT 'the of zzzz'), p AS (SELECT replace(n, ' ', '_') AS term, i, w[i] AS x FROM (SELECT n, string_split(n, ' ') AS w FROM t), LATERAL (SELECT unnest(range(1, len(w) + 1)) AS i))

@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from taxoloom.functions import patterns, text, vectors
+from taxoloom.functions import text, vectors
 from taxoloom.operators import checks, corpus, evaluation, frequencies, labeling, learning, relations, scoring, subcorpus, taxonomy, terms, tree
 from taxoloom.operators import vectors as vector_ops
-from taxoloom.plans.text_queries import tagged
 from taxoloom.sources import readers, writers
 
 TF = [(1, 1, 1), (2, 9, 1), (3, 7, 2), (3, 5, 1), (4, 8, 1), (5, 3, 1), (5, 16, 1), (6, 11, 2), (7, 16, 4), (8, 1, 1), (9, 2, 2), (9, 4, 1)]
@@ -112,29 +111,6 @@ def test_sub_lists(spark):
     assert rows[0].s == [["a"], ["b"], ["c"], ["a", "b"], ["b", "c"]] and rows[1].s == [] and rows[2].s == []
 
 
-def test_patterns(spark):
-    cases = {
-        "0np0 such as 0np3 ,4 0np5 and 0np7": ("such_as", "0np0", "0np7"),
-        "such 0np1 as 0np3 ,4 0np5 or 0np7": ("such_np_as", "0np1", "0np7"),
-        "0np0 ,1 0np2 and other 0np5": ("other", "0np5", "0np0"),
-        "0np0 ,1 0np2 ,3 0np4 and other 0np7": ("other", "0np7", "0np2"),
-        "10np0 ,1 including 0np3 and 12np5": ("including", "10np0", "12np5"),
-    }
-    df = spark.createDataFrame([(s,) for s in cases], "s string")
-    got = {r.s: (r.pattern, r.hyper, r.hypo) for r in patterns.matches(df, F.col("s")).collect()}
-    assert got == cases
-    one = patterns.chunk_pairs(patterns.matches(df, F.col("s")), all_hyponyms=True)
-    assert {(r.hyper_pos, r.hypo_pos) for r in one.where("s like '0np0 such%'").collect()} == {(0, 3), (0, 5), (0, 7)}
-    assert {(r.hyper_pos, r.hypo_pos) for r in one.where("s like '10np0%'").collect()} == {(0, 3), (0, 5)}
-
-
-def test_relations_of_analysed_sentences(spark):
-    s = relations.sentences(tagged(spark))
-    assert {(r.hyper, r.hypo) for r in relations.chunk_relations(s).collect()} >= {("dogs", "huskies"), ("animals", "tigers"), ("big_cats", "tigers")}
-    assert ("big_cat", "tiger") in {(r.hyper, r.hypo) for r in relations.chunk_relations(s, "l").collect()}
-    assert {(r.hyper, r.hypo) for r in relations.word_relations(s).collect()} == {("fast graph method", "sort"), ("fast graph method", "search tree"), ("fast graph method", "hash table")}
-
-
 def test_c_values(spark):
     c = spark.createDataFrame([("a_b_c", 5, 3), ("b_c", 9, 2), ("x_y", 4, 2), ("a", 9, 1)], "term string, freq long, length int")
     got = {r.term: r.cval for r in terms.c_values(c).collect()}
