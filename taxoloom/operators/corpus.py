@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import ranked
+
 
 def words(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """doc_id, sent_id, pos, word: lines are sentences, single blanks part words, empty words are left out."""
@@ -22,16 +24,10 @@ def nested(corpus: DataFrame) -> DataFrame:
 def vocabulary(corpus: DataFrame) -> DataFrame:
     """term_id (dense from 0 by first appearance) and term.
 
-    Ids come from a sort by the first place and a running count over id ranges, so no partition holds all
-    words: places are ranked within documents' ranges and shifted by the ranges' counts.
+    Ids come from a sort by the first place, ranked by ranges, so no task holds all words.
     """
     first = corpus.groupBy("word").agg(F.min(F.struct("doc_id", "sent_id", "pos")).alias("at"))
-    ranges = first.withColumn("_r", F.floor(F.col("at.doc_id") / 1024))
-    inner = Window.partitionBy("_r").orderBy("at")
-    sizes = ranges.groupBy("_r").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.sum("n").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)))
-    ranked = ranges.withColumn("k", F.row_number().over(inner)).join(before, "_r")
-    return ranked.select((F.col("k") - 1 + F.coalesce("before", F.lit(0))).alias("term_id"), F.col("word").alias("term"))
+    return ranked(first, [], ["at"]).select((F.col("place") - 1).alias("term_id"), F.col("word").alias("term"))
 
 
 def encode(corpus: DataFrame, vocab: DataFrame, strict: bool = False) -> DataFrame:

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import postings as P
+
 
 @dataclass(frozen=True)
 class LabelVariant:
@@ -34,7 +36,11 @@ def inclusion(postings: DataFrame, parent_terms: DataFrame, terms: DataFrame) ->
 
     ``parent_terms``: node_id, term_id of the node's parent's labels; ``terms``: node_id, term_id to score.
     """
-    flat = postings.select("term_id", F.explode("docs").alias("doc_id"))
+    if dict(postings.dtypes)["docs"] == "binary":  # in blocks
+        above = P.union(parent_terms.select("node_id", "term_id").join(postings, "term_id"), ["node_id"])
+        met = P.overlap(terms.select("node_id", "term_id").join(postings, "term_id"), above, ["node_id"])
+        return met.groupBy("node_id", "term_id").agg((F.sum("both") / (F.sum("n") + 1)).alias("incl"))
+    flat = P.documents(postings)
     parents = parent_terms.join(flat, "term_id").select("node_id", "doc_id", F.lit(1).alias("hit")).distinct()
     own = terms.join(flat, "term_id")
     return own.join(parents, ["node_id", "doc_id"], "left").groupBy("node_id", "term_id").agg((F.count("hit") / (F.count("*") + 1)).alias("incl"))

@@ -17,6 +17,12 @@ def _same(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]]) -> Co
     return reduce(lambda a, b: a & b, (left[x].eqNullSafe(right[y]) for x, y in pairs))
 
 
+def by_ranges(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
+    """The rows in ranges of (keys, order), sorted within; a key with many rows lies in several ranges."""
+    sort = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
+    return df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str = "place") -> DataFrame:
     """``df`` with each row's place, from 1, among the rows of equal ``keys`` in ``order``.
 
@@ -29,9 +35,7 @@ def ranked(df: DataFrame, keys: list[str], order: list[str | Column], name: str
     clash = {name, "_at"} & set(df.columns)
     if clash:
         raise ValueError(f"column {sorted(clash)} is there already")
-    sort = [F.col(k) for k in keys] + [F.col(c) if isinstance(c, str) else c for c in order]
-    dealt = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
-    dealt = written(dealt.withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", _ROW_BITS))
+    dealt = written(by_ranges(df, keys, order).withColumn("_at", F.monotonically_increasing_id()), "ranges").withColumn("_range", F.shiftright("_at", _ROW_BITS))
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     counts = dealt.groupBy(F.col("_range").alias("_r"), *named).agg(F.min("_at").alias("_least"), F.count("*").alias("_n"))
     ranges = Window.partitionBy(*[f"_k{i}" for i in range(len(keys))]).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)

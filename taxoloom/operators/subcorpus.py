@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
+from . import postings as P
+from . import ranking
 
 
 def strengths(tfidf: DataFrame, cluster: DataFrame, weight: str = "idf") -> DataFrame:
@@ -27,13 +29,17 @@ def strongest(rows: DataFrame, value: str = "strength") -> DataFrame:
 
 
 def ranked(assigned: DataFrame, value: str = "strength") -> DataFrame:
-    order = Window.partitionBy("node_id", "label").orderBy(F.desc(value), "doc_id")
-    return assigned.withColumn("rank", F.row_number().over(order))
+    """Ranks within node and label by ranges of values, as a few labels hold all documents."""
+    return ranking.ranked(assigned, ["node_id", "label"], [F.desc(value), "doc_id"], "rank")
+
+
+def assigned_by_strength(tfidf: DataFrame, cluster: DataFrame, weight: str = "idf") -> DataFrame:
+    """All documents under their strongest label; documents without cluster terms go to the first label."""
+    return strongest(strengths(tfidf, cluster, weight))
 
 
 def by_strength(tfidf: DataFrame, cluster: DataFrame, weight: str = "idf") -> DataFrame:
-    """All documents under their strongest label, ranked; documents without cluster terms go to the first label."""
-    return ranked(strongest(strengths(tfidf, cluster, weight)))
+    return ranked(assigned_by_strength(tfidf, cluster, weight))
 
 
 def similarities(items: DataFrame, centers: DataFrame) -> DataFrame:
@@ -42,8 +48,13 @@ def similarities(items: DataFrame, centers: DataFrame) -> DataFrame:
     return items.join(F.broadcast(c)).withColumn("sim", F.round(cosine(F.col("emb"), F.col("center")), 9)).drop("emb", "center")
 
 
+def assigned_by_retrieval(doc_emb: DataFrame, centers: DataFrame) -> DataFrame:
+    """All documents with a vector under their nearest centre."""
+    return strongest(similarities(doc_emb, centers).where("sim is not null"), "sim")
+
+
 def by_retrieval(doc_emb: DataFrame, centers: DataFrame) -> DataFrame:
-    return ranked(strongest(similarities(doc_emb, centers).where("sim is not null"), "sim"), "sim")
+    return ranked(assigned_by_retrieval(doc_emb, centers), "sim")
 
 
 def first_m(subcorpus: DataFrame, m) -> DataFrame:
@@ -55,8 +66,7 @@ def extended(base: DataFrame, other: DataFrame) -> DataFrame:
     """The base ranks, then the other list's documents that the label doesn't hold yet."""
     ends = base.groupBy("node_id", "label").agg(F.max("rank").alias("last"))
     new = other.join(base, ["node_id", "label", "doc_id"], "left_anti")
-    order = Window.partitionBy("node_id", "label").orderBy("rank")
-    new = new.withColumn("k", F.row_number().over(order)).join(F.broadcast(ends), ["node_id", "label"], "left")
+    new = ranking.ranked(new, ["node_id", "label"], ["rank"], "k").join(F.broadcast(ends), ["node_id", "label"], "left")
     moved = new.select("node_id", "label", "doc_id", (F.col("k") + F.coalesce("last", F.lit(0))).alias("rank"))
     return base.select("node_id", "label", "doc_id", "rank").union(moved)
 
@@ -69,18 +79,18 @@ def by_relevance(ranked_terms: DataFrame, postings: DataFrame, m: int, block: in
     """
     last = ranked_terms.groupBy("node_id", "label").agg(F.max("rank").alias("n"))
     used = ranked_terms.join(F.broadcast(last), ["node_id", "label"]).where("rank < n").select("node_id", "label", "term_id", F.col("rank").alias("term_rank"), F.floor((F.col("rank") - 1) / block).alias("blk"))
-    rows = used.join(postings.select("term_id", F.explode("docs").alias("doc_id")), "term_id")
+    rows = P.documents(used.join(postings, "term_id"))
     first = rows.groupBy("node_id", "label", "doc_id").agg(F.min("blk").alias("blk")).groupBy("node_id", "label", "blk").agg(F.count("*").alias("new"))
     before = F.coalesce(F.sum("new").over(Window.partitionBy("node_id", "label").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     all_blocks = rows.select("node_id", "label", "blk").distinct().join(first, ["node_id", "label", "blk"], "left").fillna({"new": 0})
     open_ = all_blocks.withColumn("before", before).where(F.col("before") < m).select("node_id", "label", "blk")
-    order = Window.partitionBy("node_id", "label").orderBy("term_rank", "doc_id")
-    return rows.join(open_, ["node_id", "label", "blk"], "left_semi").withColumn("rank", F.row_number().over(order)).select("node_id", "label", "doc_id", "rank")
+    chosen = rows.join(open_, ["node_id", "label", "blk"], "left_semi")
+    return ranking.ranked(chosen, ["node_id", "label"], ["term_rank", "doc_id"], "rank").select("node_id", "label", "doc_id", "rank")
 
 
 def documents_of(cluster: DataFrame, postings: DataFrame) -> DataFrame:
     """Documents of all terms of a cluster, once for each term."""
-    return cluster.join(postings.select("term_id", F.explode("docs").alias("doc_id")), "term_id").select("node_id", "label", "doc_id")
+    return P.documents(cluster.select("node_id", "label", "term_id").join(postings, "term_id")).select("node_id", "label", "doc_id")
 
 
 def sub_corpora(scoring: DataFrame, training: DataFrame, retrieval: DataFrame, m: int) -> tuple[DataFrame, DataFrame]:
@@ -100,5 +110,8 @@ def sub_corpus_size(n_docs: int, level: int, fan_out: int = 5) -> int:
 
 def by_importance(ranked_terms: DataFrame, postings: DataFrame, k: int = 200) -> DataFrame:
     """Distinct documents of the ``k`` most central terms of each label (node_id, label, term_id, rank)."""
-    return documents_of(ranked_terms.where(F.col("rank") <= k).select("node_id", "label", "term_id"), postings).distinct()
+    cluster = ranked_terms.where(F.col("rank") <= k).select("node_id", "label", "term_id")
+    if dict(postings.dtypes)["docs"] != "binary":
+        return documents_of(cluster, postings).distinct()
+    return P.documents(P.union(cluster.join(postings, "term_id"), ["node_id", "label"]))
 

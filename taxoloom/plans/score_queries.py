@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import frequencies, scoring, subcorpus
+from ..operators import frequencies, postings, ranking, scoring, subcorpus
 from .registry import query, table
 
 SUB = """
@@ -194,17 +194,15 @@ t AS (SELECT l_partkey AS term_id, l_orderkey AS doc_id FROM lineitem GROUP BY A
 rows_ AS (SELECT label, rank AS term_rank, (rank - 1) // 100 AS blk, doc_id FROM c JOIN t USING (term_id) WHERE rank < n),
 fb AS (SELECT label, blk, count(*) AS new FROM (SELECT label, doc_id, min(blk) AS blk FROM rows_ GROUP BY ALL) GROUP BY ALL), ab AS (SELECT DISTINCT label, blk FROM rows_),
 op AS (SELECT label, blk FROM (SELECT label, blk, coalesce(sum(new) OVER (PARTITION BY label ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ab LEFT JOIN fb USING (label, blk)) WHERE before < 1000),
-bag AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY term_rank, doc_id)::INT AS rank FROM rows_ JOIN op USING (label, blk))
+bag AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY term_rank, doc_id) AS rank FROM rows_ JOIN op USING (label, blk))
 """
 
 
 def relevant(spark, sf):
-    from pyspark.sql import Window
-
     tf = frequencies.term_frequency(occurrences(spark, sf))
-    w = Window.partitionBy("label").orderBy("term_id")
-    ranked = tf.select("term_id").distinct().select(F.lit(0).alias("node_id"), (F.col("term_id") % 5).cast("int").alias("label"), "term_id").withColumn("rank", F.row_number().over(w))
-    return subcorpus.by_relevance(ranked, frequencies.postings(tf), 1000)
+    terms = tf.select("term_id").distinct().select(F.lit(0).alias("node_id"), (F.col("term_id") % 5).cast("int").alias("label"), "term_id")
+    ranked = ranking.ranked(terms, ["label"], ["term_id"], "rank")
+    return subcorpus.by_relevance(ranked, postings.build(tf), 1000)
 
 
 @query("relevant_docs_iter", f"WITH {RELEVANT} SELECT label, doc_id, rank FROM bag")
@@ -221,20 +219,18 @@ def relevant_docs_reduced(spark, sf):
 def relevant_docs_bag(spark, sf):
     tf = frequencies.term_frequency(occurrences(spark, sf))
     cluster = tf.select("term_id").distinct().select(F.lit(0).alias("node_id"), "term_id", (F.col("term_id") % 5).cast("int").alias("label"))
-    return subcorpus.documents_of(cluster, frequencies.postings(tf)).select("label", "doc_id")
+    return subcorpus.documents_of(cluster, postings.build(tf)).select("label", "doc_id")
 
 
 @query(
     "subcorpus_extend",
     f"""WITH {RELEVANT}, other AS (SELECT (o_orderkey % 5)::INT AS label, o_orderkey AS doc_id, row_number() OVER (PARTITION BY o_orderkey % 5 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
     new AS (SELECT label, doc_id, row_number() OVER (PARTITION BY label ORDER BY rank) AS k FROM other o WHERE NOT EXISTS (SELECT 1 FROM bag b WHERE b.label = o.label AND b.doc_id = o.doc_id)), e AS (SELECT label, max(rank) AS last FROM bag GROUP BY label)
-    SELECT label, doc_id, rank FROM bag UNION ALL SELECT label, doc_id, (k + coalesce(last, 0))::INT FROM new LEFT JOIN e USING (label)""",
+    SELECT label, doc_id, rank FROM bag UNION ALL SELECT label, doc_id, (k + coalesce(last, 0))::BIGINT FROM new LEFT JOIN e USING (label)""",
 )
 def subcorpus_extend(spark, sf):
-    from pyspark.sql import Window
-
     o = table(spark, sf, "orders").select(F.lit(0).alias("node_id"), (F.col("o_orderkey") % 5).cast("int").alias("label"), F.col("o_orderkey").alias("doc_id"), "o_totalprice")
-    other = o.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(F.desc("o_totalprice"), "doc_id"))).drop("o_totalprice")
+    other = ranking.ranked(o, ["label"], [F.desc("o_totalprice"), "doc_id"], "rank").drop("o_totalprice")
     return subcorpus.extended(relevant(spark, sf), other).select("label", "doc_id", "rank")
 
 

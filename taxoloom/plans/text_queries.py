@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import patterns as P
 from ..functions import text as X
-from ..operators import checks, corpus, frequencies, relations, terms
+from ..operators import checks, corpus, frequencies, postings, relations, terms
+from ..sources import scratch
 from .registry import query, table
 
 CORPUS = """
@@ -70,9 +70,17 @@ def term_freq(spark, sf):
     return counts(spark, sf)
 
 
-@query("doc_freq_postings", f"WITH {TF} SELECT term AS term_id, array_to_string(list(doc_id ORDER BY doc_id), ',') AS docs, count(*) AS df FROM tf GROUP BY term")
+@query(
+    "doc_freq_postings",
+    f"""WITH {TF} SELECT term AS term_id, floor(doc_id / {postings.BLOCK})::BIGINT AS block, count(*) AS n, array_to_string(list(doc_id ORDER BY doc_id), ',') AS docs, sum(count(*)) OVER (PARTITION BY term)::BIGINT AS df
+    FROM tf GROUP BY term, floor(doc_id / {postings.BLOCK})""",
+)
 def doc_freq_postings(spark, sf):
-    return frequencies.postings(counts(spark, sf)).withColumn("docs", F.array_join(F.transform("docs", lambda x: x.cast("string")), ","))
+    """Document frequencies, and the postings' blocks, unpacked."""
+    blocks = scratch.written(postings.build(counts(spark, sf)))
+    docs = postings.documents(blocks.withColumns({"at": F.col("block"), "many": F.col("n")})).groupBy("term_id", F.col("at").alias("block"), F.col("many").alias("n")).agg(F.sort_array(F.collect_list("doc_id")).alias("docs"))
+    docs = docs.withColumn("docs", F.array_join(F.transform("docs", lambda x: x.cast("string")), ","))
+    return docs.join(postings.document_frequency(blocks), "term_id")
 
 
 @query("doc_length", f"WITH {CORPUS} SELECT doc_id, count(*) AS dl FROM corpus GROUP BY doc_id")

@@ -52,7 +52,7 @@ def assign_topic(spark, sf):
 
 @query(
     "topic_docs_top_m",
-    f"WITH {SIMS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY sim DESC, label) AS k FROM s) WHERE k = 1) SELECT label, doc_id, rank FROM (SELECT label, term_id AS doc_id, row_number() OVER (PARTITION BY label ORDER BY sim DESC, term_id)::INT AS rank FROM b) WHERE rank <= 20",
+    f"WITH {SIMS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY term_id ORDER BY sim DESC, label) AS k FROM s) WHERE k = 1) SELECT label, doc_id, rank FROM (SELECT label, term_id AS doc_id, row_number() OVER (PARTITION BY label ORDER BY sim DESC, term_id) AS rank FROM b) WHERE rank <= 20",
 )
 def topic_docs_top_m(spark, sf):
     return subcorpus.by_retrieval(term_emb(spark, sf).withColumnRenamed("term_id", "doc_id"), centers(spark, sf)).where("rank <= 20").select("label", "doc_id", "rank")
