@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from ._text import LETTER, NUMBER, SPACE, classes, slice_hashes
+from ._text import LETTER, NUMBER, SPACE, classes, mix, slice_hashes
 
 _QUOTE, _BLANK = ord("'"), ord(" ")
 _ONE, _TWO = b"stmd", (b"re", b"ve", b"ll")
@@ -84,11 +84,44 @@ def split_words(codes: np.ndarray, offsets: np.ndarray):
     return starts, stops, _per_text(starts, offsets)
 
 
+#: Bits of none to three code points; a number of 63 bits holds three, each one more than it is, one to one.
+_BITS = np.array([0, (1 << 21) - 1, (1 << 42) - 1, (1 << 63) - 1], np.int64)
+_LONG = np.uint64(1 << 63)
+
+
+def _threes(codes: np.ndarray) -> np.ndarray:
+    """The code points at each place and the two after it."""
+    wide = codes.astype(np.int64) + 1
+    out = wide.copy()
+    out[:-1] |= wide[1:] << 21
+    out[:-2] |= wide[2:] << 42
+    return out
+
+
+def _keys(codes: np.ndarray, threes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Up to three characters as they are, up to twelve mixed from all of them, longer ones' hashes."""
+    first = threes[starts]
+    keys = (first & _BITS[np.minimum(lengths, 3)]).view(np.uint64)
+    rows = np.nonzero(lengths > 3)[0]
+    at, n = starts[rows], lengths[rows]
+    mixed = mix(first[rows].view(np.uint64) + n.astype(np.uint64)) + threes[at + n - 3].view(np.uint64)
+    more = np.nonzero(n > 6)[0]
+    for step in (3, 6):
+        mixed[more] = mix(mixed[more]) + threes[at[more] + np.minimum(step, n[more] - 3)].view(np.uint64)
+    keys[rows] = mix(mixed) | _LONG
+    far = rows[n > 12]
+    if len(far):
+        flat, sizes = _slices(codes, starts[far], starts[far] + lengths[far])
+        stops = np.cumsum(sizes)
+        keys[far] = slice_hashes(flat, stops - sizes, stops) | _LONG
+    return keys
+
+
 class PieceTable:
     """Token ids of every piece met so far. At ``limit`` pieces it starts anew.
 
-    Hashes only bring equal pieces together: each one's characters are compared with those of the piece whose ids it
-    gets, and a piece that shares another's hash has its row by its characters.
+    Pieces of up to three characters are told apart by these. Hashes only bring equal longer ones together: each one's
+    characters are compared with those in the table, and one that shares another's hash has its row by its characters.
     """
 
     def __init__(self, encode, limit: int = 700_000):
@@ -98,35 +131,66 @@ class PieceTable:
     def clear(self) -> None:
         self.rows: dict[int, int] = {}
         self.odd: dict[str, int] = {}
-        self.pieces: list[str] = []
         self.flat = np.zeros(1 << 16, np.int32)
         self.offsets = np.zeros(1 << 14, np.int64)
         self.extra: list = []
+        self.threes = np.zeros(1 << 16, np.int64)
+        self.places = np.zeros(1 << 14, np.int64)  # where each row's characters begin
 
     def lookup(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The table's row of each piece; new ones are encoded."""
         if not len(starts):
             return np.zeros(0, np.int64)
-        hashes, where, inverse = np.unique(slice_hashes(codes, starts, ends), return_index=True, return_inverse=True)
-        if len(self.pieces) + len(hashes) > self.limit and self.pieces:
+        threes, lengths = _threes(codes), ends - starts
+        keys = _keys(codes, threes, starts, lengths)
+        hashes, where, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        if len(self.extra) + len(hashes) > self.limit and self.extra:
             self.clear()
         rows = np.fromiter(map(self.rows.get, hashes.tolist(), [-1] * len(hashes)), np.int64, len(hashes))
-        for j, piece in enumerate(_texts(codes, starts[where], ends[where])):
-            if rows[j] < 0:
-                rows[j] = self.rows[int(hashes[j])] = self._add(piece)
-            elif self.pieces[rows[j]] != piece:
-                rows[j] = self._odd(piece)
+        missing = np.nonzero(rows < 0)[0]
+        if len(missing):
+            rows[missing] = self._put(codes, starts[where[missing]], ends[where[missing]])
+            self.rows.update(zip(hashes[missing].tolist(), rows[missing].tolist(), strict=True))
         out = rows[inverse]
-        other = np.nonzero(~_equal(codes, starts, ends, starts[where][inverse], ends[where][inverse]))[0]
-        for i, piece in zip(other.tolist(), _texts(codes, starts[other], ends[other]), strict=True):
-            out[i] = self._odd(piece)
+        other = np.nonzero(lengths > 3)[0]
+        other = other[self._differ(threes, starts[other], lengths[other], out[other])]
+        for i in other.tolist():
+            piece = codes[starts[i] : ends[i]].tobytes().decode("utf-32-le", "surrogatepass")
+            if piece not in self.odd:
+                self.odd[piece] = int(self._put(codes, starts[i : i + 1], ends[i : i + 1])[0])
+            out[i] = self.odd[piece]
         return out
 
-    def _odd(self, piece: str) -> int:
-        row = self.odd.get(piece)
-        if row is None:
-            row = self.odd[piece] = self._add(piece)
-        return row
+    def _differ(self, threes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Whether the pieces hold other characters than their rows, three at a time."""
+        places = self.places[rows]
+        differ = lengths != self.places[rows + 1] - places
+        live = np.nonzero(~differ)[0]
+        a, b, left = starts[live], places[live], lengths[live]
+        while len(live):
+            differ[live] |= ((threes[a] ^ self.threes[b]) & _BITS[np.minimum(left, 3)]) != 0
+            more = np.nonzero((left > 3) & ~differ[live])[0]
+            live, a, b, left = live[more], a[more] + 3, b[more] + 3, left[more] - 3
+            if len(live) < 64:  # few and long: compare each at once
+                for i, x, y, n in zip(live.tolist(), a.tolist(), b.tolist(), left.tolist(), strict=True):
+                    whole = n - n % 3
+                    differ[i] = not np.array_equal(threes[x : x + whole : 3], self.threes[y : y + whole : 3]) or bool(n % 3 and (threes[x + whole] ^ self.threes[y + whole]) & _BITS[n % 3])
+                break
+        return differ
+
+    def _put(self, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """New rows for the pieces."""
+        new_codes, lengths = _slices(codes, starts, ends)
+        first, at = len(self.extra), int(self.places[len(self.extra)])
+        while at + len(new_codes) > len(self.threes):
+            self.threes = np.concatenate((self.threes, np.zeros_like(self.threes)))
+        while first + len(lengths) + 2 > len(self.places):
+            self.places = np.concatenate((self.places, np.zeros_like(self.places)))
+        self.threes[at : at + len(new_codes)] = _threes(new_codes)
+        self.places[first + 1 : first + 1 + len(lengths)] = at + np.cumsum(lengths)
+        text = new_codes.tobytes().decode("utf-32-le", "surrogatepass")
+        cuts = np.concatenate(([0], np.cumsum(lengths))).tolist()
+        return np.array([self._add(text[i:j]) for i, j in zip(cuts, cuts[1:])], np.int64)
 
     def _add(self, piece: str) -> int:
         ids, extra = self.encode(piece)
@@ -139,35 +203,9 @@ class PieceTable:
         self.flat[at : at + len(ids)] = ids
         self.offsets[row + 1] = at + len(ids)
         self.extra.append(extra)
-        self.pieces.append(piece)
         return row
 
 
-def _texts(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[str]:
-    """The slices as strings."""
-    flat, lengths = _slices(codes, starts, ends)
-    text = flat.tobytes().decode("utf-32-le", "surrogatepass")
-    cuts = np.concatenate(([0], np.cumsum(lengths))).tolist()
-    return [text[a:b] for a, b in zip(cuts, cuts[1:])]
-
-
-def _equal(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
-    """Whether the slices from ``starts`` and ``others`` hold the same characters; lengths are taken one by one."""
-    lengths = ends - starts
-    same = lengths == other_ends - others
-    open_ = np.nonzero(same & (starts != others))[0]
-    open_ = open_[np.argsort(lengths[open_], kind="stable")]
-    kinds, first = np.unique(lengths[open_], return_index=True)
-    for n, a, b in zip(kinds.tolist(), first.tolist(), [*first[1:].tolist(), len(open_)]):
-        rows = open_[a:b]
-        view = np.lib.stride_tricks.sliding_window_view(codes, n)
-        step = max(1, (1 << 20) // n)
-        for i in range(0, len(rows), step):
-            part = rows[i : i + step]
-            same[part] = (view[starts[part]] == view[others[part]]).all(1)
-    return same
-
-
 def _slices(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     stops = np.cumsum(lengths)

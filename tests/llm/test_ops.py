@@ -714,8 +714,13 @@ def test_equal_hashes_never_share_a_row(monkeypatch):
     from taxoloom.llm import _pieces
 
     monkeypatch.setattr(_pieces, "slice_hashes", lambda codes, starts, ends: np.zeros(len(starts), np.uint64))
+    monkeypatch.setattr(_pieces, "mix", lambda x: x * np.uint64(0))
     table = _pieces.PieceTable(lambda piece: ([len(piece)], piece))
-    codes = np.frombuffer("abaabbaab".encode("utf-32-le"), np.uint32)
-    starts, ends = np.array([0, 2, 5, 5, 0, 6]), np.array([2, 4, 6, 7, 1, 8])
+    words = ["ab", "aa", "b", "abcd", "abce", "abc", "abcdabcdabcdé", "abcdabcdabcde", "x" * 1000, "x" * 999 + "y", "y" + "x" * 999, "x" * 1001, "\0\0\0\0", "\0\0\0"]
+    words += [f"word{i}" for i in range(200)] + words
+    codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
     for _ in range(2):
-        assert [table.extra[r] for r in table.lookup(codes, starts, ends)] == ["ab", "aa", "b", "ba", "a", "aa"]
+        assert [table.extra[r] for r in table.lookup(codes, starts, ends)] == words
+    assert len(table.extra) == len(set(words))
