@@ -83,11 +83,11 @@ def tag(docs: DataFrame, tagger: Tagger | None = None, text: str = "text", id_co
         each = lambda w, i: F.struct(i.cast("int").alias("pos"), w.alias("token"), rule_tag(w).alias("tag"), rule_lemma(w, rule_tag(w)).alias("lemma"), rule_stop(w).alias("is_stop"))
         return sents.select("doc_id", "sent_id", F.transform("words", each).alias("words"))
     kind = pa.list_(pa.struct([("pos", pa.int32()), ("token", pa.string()), ("tag", pa.string()), ("lemma", pa.string()), ("is_stop", pa.bool_())]))
-    shared = docs.sparkSession.sparkContext.broadcast(tagger)
+    shared = docs.sparkSession.sparkContext.broadcast(tagger) if hasattr(tagger, "many") else None  # a model is shipped once
+    single = None if shared else tagger
 
     def run(batches):
-        tagger = shared.value
-        many = getattr(tagger, "many", lambda sents: [tagger(words) for words in sents])
+        many = shared.value.many if shared else lambda sents: [single(words) for words in sents]
         for b in batches:
             out = []
             sents = b.column(2).to_pylist()

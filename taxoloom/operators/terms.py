@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import glue, sub_lists
+from ..sources.scratch import written
 
 
 def candidates(rows: DataFrame, column: str) -> DataFrame:
@@ -34,29 +35,29 @@ def c_values(cands: DataFrame, threshold: float = 2.0, corrected: bool = False)
     Lengths go from long to short; each accepted term adds its frequency to its sub-sequences' t and one to
     their c. As in the original formula ``log2(length) * f - t / c``, and sub-sequences of the longest terms
     keep only the last one's frequency; with ``corrected`` ``log2(length) * (f - t / c)`` and sums throughout.
-    Here the last one is the greatest by name.
+    Here the last one is the greatest by name. Each length is written, so the plan of one doesn't hold the longer ones'.
     """
-    top = cands.agg(F.max("length")).first()[0] or 0
-    nested: DataFrame | None = None
+    lengths = [r[0] for r in cands.select("length").distinct().orderBy(F.desc("length")).collect()]
+    within: DataFrame | None = None  # sub, t, c of all longer terms
     accepted: list[DataFrame] = []
-    for n in range(top, 0, -1):
+    for n in lengths:
         level = cands.where(F.col("length") == n)
         log = F.log2(F.col("length").cast("double"))
-        if nested is None:
+        if within is None:
             scored = level.withColumn("cval", log * F.col("freq"))
         else:
-            within = nested.groupBy(F.col("sub").alias("term")).agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
             share = F.col("t") / F.col("c")
             value = log * (F.col("freq") - share) if corrected else log * F.col("freq") - share
-            scored = level.join(within, "term", "left").withColumn("cval", F.when(F.col("c").isNull(), log * F.col("freq")).otherwise(value))
-        kept = scored.where(F.col("cval") > threshold).select("term", "freq", "length", "cval")
+            scored = level.join(within.withColumnRenamed("sub", "term"), "term", "left").withColumn("cval", F.when(F.col("c").isNull(), log * F.col("freq")).otherwise(value))
+        kept = written(scored.where(F.col("cval") > threshold).select("term", "freq", "length", "cval"), "c-values")
         accepted.append(kept.select("term", "cval"))
         parts = sub_sequences(kept).join(kept.select("term", "freq"), "term")
-        if n == top and not corrected:
+        if within is None and not corrected:
             parts = parts.groupBy("sub").agg(F.max_by("freq", "term").alias("t")).withColumn("c", F.lit(1))
         else:
             parts = parts.select("sub", F.col("freq").alias("t"), F.lit(1).alias("c"))
-        nested = parts if nested is None else nested.union(parts)
+        if n > 1:
+            within = written((parts if within is None else within.union(parts)).groupBy("sub").agg(F.sum("t").alias("t"), F.sum("c").alias("c")), "c-values")
     return reduce(DataFrame.union, accepted) if accepted else cands.select("term", F.lit(0.0).alias("cval")).limit(0)
 
 

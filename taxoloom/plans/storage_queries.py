@@ -50,6 +50,23 @@ def stored_vectors(spark, sf):
     return readers.embeddings(spark, path).select("term", F.size("emb").alias("size"), F.round(total, 4).alias("total"))
 
 
+@query("stored_json_map", f"WITH {CORPUS} SELECT word AS key, count(*) AS value FROM corpus GROUP BY word")
+def stored_json_map(spark, sf):
+    """Word counts through several files of JSON objects."""
+    path = scratch.place(spark, "json-map")
+    writers.json_map(words(spark, sf).groupBy("word").agg(F.count("*").alias("n")).repartition(3), path, "word", "n")
+    return readers.json_map(spark, path, "bigint")
+
+
+@query("stored_binary_vectors", "SELECT term, (i - 1)::INT AS i, round(emb[i]::DOUBLE, 6) AS x FROM (SELECT vec_id::VARCHAR AS term, embedding AS emb FROM embeddings WHERE embedding IS NOT NULL), LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i)")
+def stored_binary_vectors(spark, sf):
+    """Whole vectors through binary files that are read in ranges far shorter than a file."""
+    path = scratch.place(spark, "binary-vectors")
+    writers.embeddings_binary(term_emb(spark, sf).where("emb is not null"), path, "term_id")
+    found = readers.embeddings_binary(spark, path, 1 << 16)
+    return found.select("term", F.posexplode("emb").alias("i", "x")).withColumn("x", F.round("x", 6))
+
+
 @query("stored_document_vectors", "SELECT vec_id AS doc_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
 def stored_document_vectors(spark, sf):
     path = scratch.place(spark, "document-vectors")
