@@ -19,7 +19,7 @@ from ..sources.scratch import written
 from .ranking import ranked
 
 #: Words of a block, pairs of a batch.
-BLOCK, BATCH = 2048, 256
+BLOCK, BATCH = 2048, 32
 
 
 def weight(x: np.ndarray, x_max: float, alpha: float) -> np.ndarray:
