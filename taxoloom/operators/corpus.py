@@ -84,6 +84,7 @@ def glue_ids(corpus_idx: DataFrame, spans: DataFrame) -> DataFrame:
 
 
 def split_parts(docs: DataFrame, parts: int) -> DataFrame:
-    """Number of the chunk of consecutive documents that each one falls in."""
-    total = docs.agg(F.max("doc_id").alias("top"))
-    return docs.join(F.broadcast(total)).select("doc_id", F.floor(F.col("doc_id") * parts / (F.col("top") + 1)).cast("long").alias("part"))
+    """Number of the chunk of consecutive documents that each one falls in; chunks differ by one document at most."""
+    total = docs.agg(F.count("*").alias("n"))
+    placed = ranked(docs.select("doc_id"), [], ["doc_id"])
+    return placed.join(F.broadcast(total)).select("doc_id", F.floor((F.col("place") - 1) * parts / F.col("n")).cast("long").alias("part"))

@@ -29,5 +29,6 @@ def overlap(labels: DataFrame, gold: DataFrame) -> DataFrame:
 
 
 def sample(relations: DataFrame, n: int = 100, seed: int = 13) -> DataFrame:
-    """n relations without replacement, the same for one seed at any partitioning."""
-    return relations.orderBy(F.xxhash64(*relations.columns, F.lit(seed)), *relations.columns).limit(n)
+    """n relations without replacement, the same for one seed at any partitioning: those of the least MD5 of seed and row."""
+    row = F.concat_ws("\t", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in relations.columns))
+    return relations.orderBy(F.md5(row.cast("binary")), *relations.columns).limit(n)

@@ -90,14 +90,14 @@ def stored_corpus_json(spark, sf):
     return readers.corpus_json(spark, path).select("doc_id", "sent_id", "pos", "token", "tag", "lemma")
 
 
-@query("stored_corpus", f"WITH {CORPUS} SELECT doc_id, count(*) AS n_words FROM corpus GROUP BY doc_id")
+@query("stored_corpus", f"WITH {CORPUS}, s AS (SELECT doc_id, sent_id, string_agg(word, ' ' ORDER BY pos) AS s FROM corpus GROUP BY ALL) SELECT doc_id, string_agg(s, chr(10) ORDER BY sent_id) AS content FROM s GROUP BY doc_id")
 def stored_corpus(spark, sf):
-    """Words of all documents through the text format; documents are numbered by their order."""
+    """Whole documents through the text format; documents are numbered by their order."""
     path = scratch.place(spark, "corpus")
     w = words(spark, sf)
     writers.corpus(w, path)
-    back = readers.blocks(spark, path).select("doc_id", F.size(F.filter(F.split("content", "[ \n]"), lambda x: x != "")).cast("long").alias("n_words"))
-    return back.withColumnRenamed("doc_id", "k").join(_ranks(w.select("doc_id").distinct()), "k").select("doc_id", "n_words")
+    back = readers.blocks(spark, path)
+    return back.withColumnRenamed("doc_id", "k").join(_ranks(w.select("doc_id").distinct()), "k").select("doc_id", "content")
 
 
 def _ranks(docs):

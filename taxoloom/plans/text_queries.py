@@ -137,7 +137,7 @@ def lemma_counts(spark, sf):
     return words(spark, sf).groupBy(F.lower("word").alias("lemma")).agg(F.count("*").alias("n"))
 
 
-@query("corpus_split", "SELECT doc_id, floor(doc_id * 4 / (top + 1))::BIGINT AS part FROM documents, (SELECT max(doc_id) AS top FROM documents)")
+@query("corpus_split", "SELECT doc_id, floor((row_number() OVER (ORDER BY doc_id) - 1) * 4 / count(*) OVER ())::BIGINT AS part FROM documents")
 def corpus_split(spark, sf):
     return corpus.split_parts(table(spark, sf, "documents"), 4)
 

@@ -217,6 +217,6 @@ def prev_label_fill(spark, sf):
     return evaluation.prefill(wanted, evaluation.merge_labels(rows, rows.limit(0))).select("hyper", "hypo", "label")
 
 
-@query("random_eval_sample")
+@query("random_eval_sample", f"SELECT hyper, hypo FROM ({_relations(3)}) ORDER BY md5('13' || chr(9) || coalesce(hyper, '') || chr(9) || coalesce(hypo, '')), hyper, hypo LIMIT 100")
 def random_eval_sample(spark, sf):
     return evaluation.sample(tree.relations(edges(spark, sf), terms(spark, sf), 0, 3).select("hyper", "hypo"), 100)

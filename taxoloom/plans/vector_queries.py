@@ -69,20 +69,21 @@ def center_terms_top_k(spark, sf):
     return ranked.where("rank <= 10").select("label", "term_id", "rank")
 
 
-@query("vector_diff", f"WITH {EMB} SELECT term_id, round(list_sum(list_transform(list_zip(emb, center), lambda p: abs(p[1] - p[2]))), 6) AS distance FROM e JOIN c USING (label)")
+@query("vector_diff", f"WITH {EMB} SELECT term_id, (i - 1)::INT AS i, round(emb[i] - center[i], 6) AS x FROM e JOIN c USING (label), LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i)")
 def vector_diff(spark, sf):
+    """Every vector less its topic's centre, whole."""
     c = centers(spark, sf).select("label", F.col("emb").alias("center"))
     rows = table(spark, sf, "embeddings").join(F.broadcast(c), "label")
-    total = F.aggregate(V.difference(F.col("embedding"), F.col("center")), F.lit(0.0), lambda s, x: s + F.abs(x))
-    return rows.select(F.col("vec_id").alias("term_id"), F.round(total, 6).alias("distance"))
+    diff = V.difference(F.transform("embedding", lambda x: x.cast("double")), F.col("center"))
+    return rows.select(F.col("vec_id").alias("term_id"), F.posexplode(diff).alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("vector_concat", "SELECT vec_id AS term_id, (2 * len(embedding))::BIGINT AS n, round(list_sum(embedding::DOUBLE[]) * 3, 6) AS total FROM embeddings")
+@query("vector_concat", "SELECT term_id, (i - 1)::INT AS i, round(emb[i], 6) AS x FROM (SELECT vec_id AS term_id, list_concat(embedding::DOUBLE[], list_transform(embedding::DOUBLE[], lambda x: 2 * x)) AS emb FROM embeddings), LATERAL (SELECT unnest(range(1, len(emb) + 1)) AS i)")
 def vector_concat(spark, sf):
+    """Every vector with its double behind it, whole."""
     first = term_emb(spark, sf)
     second = first.select("term_id", V.scaled(F.col("emb"), F.lit(2.0)).alias("emb"))
-    both = vectors.combined(first, second)
-    return both.select("term_id", F.size("emb").cast("long").alias("n"), F.round(F.aggregate("emb", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return vectors.combined(first, second).select("term_id", F.posexplode("emb").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("embedding_mean_merge", f"WITH {EMB} SELECT label, (i - 1)::INT AS i, round(x, 6) AS x, n FROM x JOIN (SELECT label, count(*) AS n FROM e GROUP BY label) USING (label)")
@@ -93,12 +94,13 @@ def embedding_mean_merge(spark, sf):
     return merged.select(F.col("term_id").alias("label"), "n", F.posexplode("emb").alias("i", "x")).withColumn("x", F.round("x", 6))
 
 
-@query("layer_choice", "SELECT vec_id AS term_id, round((embedding[1]::DOUBLE + 2 * embedding[1]::DOUBLE + 3 * embedding[1]::DOUBLE) / 3, 6) AS mean1, round(embedding[1]::DOUBLE, 6) AS first1, round(3 * embedding[1]::DOUBLE, 6) AS last1 FROM embeddings")
+@query("layer_choice", "SELECT vec_id AS term_id, (i - 1)::INT AS i, round(2 * embedding[i]::DOUBLE, 6) AS mean, round(embedding[i]::DOUBLE, 6) AS first, round(3 * embedding[i]::DOUBLE, 6) AS last FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")
 def layer_choice(spark, sf):
+    """The mean, the first and the last of three layers (a vector once, twice, three times), whole."""
     e = F.col("emb")
     layers = F.array(e, V.scaled(e, F.lit(2.0)), V.scaled(e, F.lit(3.0)))
-    pick = lambda k: F.round(V.layer(layers, k)[0], 6)
-    return term_emb(spark, sf).select("term_id", pick(2).alias("mean1"), pick(0).alias("first1"), pick(1).alias("last1"))
+    rows = term_emb(spark, sf).select("term_id", F.posexplode(F.arrays_zip(V.layer(layers, 2).alias("mean"), V.layer(layers, 0).alias("first"), V.layer(layers, 1).alias("last"))).alias("i", "x"))
+    return rows.select("term_id", "i", *(F.round(f"x.{c}", 6).alias(c) for c in ("mean", "first", "last")))
 
 
 @query(
