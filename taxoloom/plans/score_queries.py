@@ -202,7 +202,7 @@ def relevant(spark, sf):
     tf = frequencies.term_frequency(occurrences(spark, sf))
     terms = tf.select("term_id").distinct().select(F.lit(0).alias("node_id"), (F.col("term_id") % 5).cast("int").alias("label"), "term_id")
     ranked = ranking.ranked(terms, ["label"], ["term_id"], "rank")
-    return subcorpus.by_relevance(ranked, postings.build(tf), 1000)
+    return subcorpus.by_relevance(ranked, postings.stored(tf), 1000)
 
 
 @query("relevant_docs_iter", f"WITH {RELEVANT} SELECT label, doc_id, rank FROM bag")
@@ -219,7 +219,7 @@ def relevant_docs_reduced(spark, sf):
 def relevant_docs_bag(spark, sf):
     tf = frequencies.term_frequency(occurrences(spark, sf))
     cluster = tf.select("term_id").distinct().select(F.lit(0).alias("node_id"), "term_id", (F.col("term_id") % 5).cast("int").alias("label"))
-    return subcorpus.documents_of(cluster, postings.build(tf)).select("label", "doc_id")
+    return subcorpus.documents_of(cluster, postings.stored(tf)).select("label", "doc_id")
 
 
 @query(

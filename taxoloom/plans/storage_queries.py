@@ -143,7 +143,7 @@ def important_documents(spark, sf):
     label = (F.col("term_id") % 5).cast("int")
     ranked = tf.select("term_id").distinct().select(F.lit(0).cast("long").alias("node_id"), label.alias("label"), "term_id")
     ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("node_id", "label").orderBy("term_id")))
-    return subcorpus.by_importance(ranked, postings.build(tf), 20)
+    return subcorpus.by_importance(ranked, postings.stored(tf), 20)
 
 
 @query("whole_vectors", "SELECT vec_id AS term_id, (i - 1)::INT AS i, round(2 * embedding[i]::DOUBLE - embedding[1]::DOUBLE, 6) AS diff FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i)")

@@ -115,7 +115,7 @@ def included(spark, sf):
     own = tf.select("term_id").distinct().select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id")
     # the ten terms of most documents of each node stand for its parent's labels
     often = frequencies.document_frequency(tf).select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id", F.col("df").alias("score"))
-    return labeling.inclusion(postings.build(tf), labeling.top_labels(often).select("node_id", "term_id"), own)
+    return labeling.inclusion(postings.stored(tf), labeling.top_labels(often).select("node_id", "term_id"), own)
 
 
 @query("inclusion_score", f"WITH {INCL} SELECT node_id, term_id, round(incl, 6) AS incl FROM incl")
@@ -178,7 +178,7 @@ def label_tree_variants(spark, sf):
     hypo = base.select("node_id", "term_id", (1.0 / (1 + F.col("term_id"))).alias("hypo"))
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
     tf = o.join(c, o.o_custkey == c.c_custkey).select(F.ascii("c_mktsegment").cast("long").alias("term_id"), F.unix_date(F.col("o_orderdate").cast("date")).cast("long").alias("doc_id")).distinct()
-    post, out = postings.build(tf), None
+    post, out = postings.stored(tf), None
     for name, variant in labeling.VARIANTS.items():
         got = labeling.label_tree(edges(spark, sf), base, post, variant, 0, 2, hypo, k=3).select(F.lit(name).alias("variant"), "node_id", "term_id", F.round("score", 6).alias("score"), "rank")
         out = got if out is None else out.union(got)
