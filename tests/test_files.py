@@ -55,6 +55,22 @@ def test_text_files(spark, tmp_path):
     assert rows(spark.read.text(f"{tmp_path}/keys")) == [("graph_theory",), ("x",)]
 
 
+def test_documents_are_numbered_in_file_order(spark, tmp_path):
+    """Also where later files are the longer ones, which Spark deals to tasks first."""
+    texts = [f"{i} " + "x" * (1 + i * 997 % 40000) for i in range(60)]
+    for k in range(6):
+        (tmp_path / f"part-{k}").write_text("".join(t + "\n\n" for t in texts[k * 10 : k * 10 + 10]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        assert sorted(readers.blocks(spark, str(tmp_path)).collect()) == list(enumerate(texts))
+        assert [c for _, c in sorted(readers.lines(spark, str(tmp_path)).collect()) if c] == texts
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a").write_text("a\n\r\n\nb\n\n", newline="")
+    assert rows(readers.blocks(spark, f"{tmp_path}/odd")) == [(0, "a\n\r"), (1, "b")]
+
+
 def test_output_folders(spark, tmp_path):
     path = f"{tmp_path}/out"
     assert len(writers.prepare(spark, path)) == len(writers.FOLDERS)
