@@ -44,3 +44,27 @@ def test_glued_chunks_of_long_runs_against_sql(spark, tmp_path):
     c.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
     assert got == set(c.execute(ORACLES["glued_chunks"]).fetchall())
     assert (f"{n - 1}np", 1, 1) in got and ("IN", n + 1, 2) in got
+
+
+def test_sentences_are_glued_without_a_shuffle_and_tagged_once(spark):
+    """Gluing stays within a row, and no filter that Spark infers makes the tags again."""
+    for name in ("np_concat", "np_positions", "tagger_words"):
+        df = QUERIES[name](spark, SF)
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("_'-]+|[^") == 1 and plan.count("(ous|ful|") + plan.count("[^suix]s$") == 1, name
+        assert name == "tagger_words" or "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_glued_sentences_equal_glued_rows(spark):
+    """With spans at the start, at the end, side by side, of one word, and none."""
+    from pyspark.sql import functions as F
+
+    from taxoloom.operators import corpus, linguistics
+
+    texts = ["Big cats such as the red dogs and 3 hats", "the cat", "of on in", "Cat, dog; the", "The of cats dogs. Hats", ""]
+    sents = linguistics.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    a = linguistics.tagged_rows(linguistics.glue_chunks(sents))
+    b = corpus.glue_spans(linguistics.tagged_rows(sents), linguistics.chunk_spans(sents)).select(*a.columns)
+    got = sorted(map(tuple, a.collect()))
+    assert got == sorted(map(tuple, b.collect())) and len(got) > 15
+    assert a.where(F.col("tag").endswith("np")).count() >= 6
