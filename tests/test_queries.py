@@ -68,3 +68,11 @@ def test_glued_sentences_equal_glued_rows(spark):
     got = sorted(map(tuple, a.collect()))
     assert got == sorted(map(tuple, b.collect())) and len(got) > 15
     assert a.where(F.col("tag").endswith("np")).count() >= 6
+
+
+def test_counts_of_a_document_need_no_shuffle_of_their_own(spark):
+    """Texts are dealt by document; no shuffle holds the pairs of document and word."""
+    for name in ("tfidf", "top_terms_per_doc"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert not [p for p in plan.split("Exchange hashpartitioning(")[1:] if p.startswith("doc_id") and "term_id" in p.split(", [plan_id")[0]], name
+        assert "REPARTITION_BY_COL" in plan
