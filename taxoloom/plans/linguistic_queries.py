@@ -119,7 +119,8 @@ def lemma_tag_strings(spark, sf):
 )
 def strip_article(spark, sf):
     """The first two words of every sentence as a span, less a leading article."""
-    s = tagged(spark, sf).where(F.size("words") > 1).withColumn("span", X.drop_article(F.col("words"), F.lit(0), F.lit(2), F.lit(1)))
+    first = F.transform(F.slice("words", 1, 2), lambda w: F.struct(w.alias("token")))  # no tags are asked for
+    s = linguistics.tokens(table(spark, sf, "documents")).where(F.size("words") > 1).select("doc_id", "sent_id", first.alias("words")).withColumn("span", X.drop_article(F.col("words"), F.lit(0), F.lit(2), F.lit(1)))
     return s.select("doc_id", "sent_id", "span.start", "span.root")
 
 
