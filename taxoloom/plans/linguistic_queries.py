@@ -47,7 +47,8 @@ def pos_term_spans(spark, sf):
     rf"WITH {TAGGED}, m AS (SELECT doc_id, lem, unnest(regexp_extract_all(tags, '((NN[PS]?[PS]?|JJ[RS]?)[0-9]+ )+NN[PS]?[PS]?[0-9]+')) AS m FROM strings) SELECT array_to_string(list_transform(regexp_extract_all(m, '[0-9]+'), lambda x: lem[x::INT + 1]), '_') AS term, count(*) AS n, count(DISTINCT doc_id) AS df FROM m GROUP BY ALL",
 )
 def pos_term_candidates(spark, sf):
-    return linguistics.term_candidates(tagged(spark, sf)).groupBy("term").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("df"))
+    found = ruled.term_candidates(table(spark, sf, "documents")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
+    return found.groupBy("term").agg(F.sum("n").alias("n"), F.count("doc_id").alias("df"))
 
 
 @query(
