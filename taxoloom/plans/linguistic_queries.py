@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import corpus, frequencies, linguistics, relations, ruled, tagging
+from ..sources import scratch
 from .registry import query, table
 
 _CLOSED = " ".join(f"WHEN low IN ({', '.join(repr(w) for w in words.split())}) THEN '{t}'" for t, words in linguistics.CLOSED.items())
@@ -148,8 +149,8 @@ def glued_ids(spark, sf):
 )
 def noun_filter_tfidf(spark, sf):
     """Weights of the lemmas whose tag starts with N."""
-    nouns = linguistics.tagged_rows(tagged(spark, sf)).where(F.col("tag").startswith("N")).select("doc_id", F.col("lemma").alias("term_id"))
-    out = frequencies.tf_idf(frequencies.term_frequency(nouns), table(spark, sf, "documents"))
+    docs = table(spark, sf, "documents")
+    out = frequencies.tf_idf(scratch.written(ruled.nouns(docs), "nouns"), docs)  # read twice, so made once
     return out.withColumn("tfidf", F.round("tfidf", 6))
 
 
