@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, frequencies, labeling, postings, tree
+from ..sources import scratch
 from .registry import query, table
 from .score_queries import occurrences
 
@@ -111,7 +112,7 @@ INCL = POST + ", pd AS (SELECT DISTINCT node_id, doc_id FROM par JOIN tf USING (
 
 
 def included(spark, sf):
-    tf = frequencies.term_frequency(occurrences(spark, sf))
+    tf = scratch.written(frequencies.term_frequency(occurrences(spark, sf)))  # read more than once
     own = tf.select("term_id").distinct().select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id")
     # the ten terms of most documents of each node stand for its parent's labels
     often = frequencies.document_frequency(tf).select((F.col("term_id") % 5).cast("long").alias("node_id"), "term_id", F.col("df").alias("score"))
