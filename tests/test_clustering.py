@@ -106,3 +106,40 @@ def test_equal_vectors_link_first(spark):
             learning.cluster_nodes(df, 3, "complete").collect()
         finally:
             learning.MOST = kept
+
+
+@pytest.mark.parametrize("last", [0, 300, 1 << 20])
+def test_single_links_of_equal_distances(spark, monkeypatch, last):
+    """Copies and right angles, so that ids decide; blocks of 16, edges left for a node's task none, some and all."""
+    monkeypatch.setattr(clustering, "BLOCK", 16)
+    monkeypatch.setattr(clustering, "LAST", last)
+    rng = np.random.default_rng(2)
+    ids, x = rng.permutation(400)[:90], np.eye(4)[rng.integers(0, 4, 90)] * rng.choice([1.0, -1.0], (90, 1))
+    more = made({7: 120}, seed=6)[7]
+    df = frame(spark, {0: (ids, x), 7: (more[0], more[1][:, :4]), 9: (np.array([5]), np.ones((1, 4)))})
+    found = sorted((r.node_id, r.distance, r.a, r.b) for r in clustering.spanning_forest(df.repartition(3)).collect())
+    rows = {}
+    for r in df.collect():
+        rows.setdefault(r.node_id, []).append((r.term_id, r.emb))
+    want = []
+    for node, pairs in rows.items():
+        t, v = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
+        v = np.rint(np.rint(v / np.linalg.norm(v, axis=1, keepdims=True) * clustering.SCALE) / clustering.SCALE * clustering.UNIT)
+        edges = sorted((1 - v[i] @ v[j] / clustering.UNIT**2, int(min(t[i], t[j])), int(max(t[i], t[j]))) for i in range(len(t)) for j in range(i))
+        part = {int(i): int(i) for i in t}
+        for d, a, b in edges:
+            if part[a] != part[b]:
+                want.append((node, d, a, b))
+                part = {i: part[a] if p == part[b] else p for i, p in part.items()}
+    assert found == sorted(want)
+    labels = {(r.node_id, r.term_id): r.label for r in clustering.single_link(df, 5).collect()}
+    assert len(labels) == 211 and labels == {(r.node_id, r.term_id): r.label for r in clustering.single_link(df.coalesce(1), 5).collect()}
+
+
+def test_jobs_of_single_links_do_not_grow_with_terms(spark):
+    def jobs(terms):
+        spark.sparkContext.setJobGroup(f"links-{terms}", "")
+        clustering.single_link(frame(spark, made({0: terms}, seed=terms)), 5).count()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"links-{terms}"))
+
+    assert jobs(900) <= jobs(20) + 4
